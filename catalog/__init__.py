@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from catalog import profile, scalar, window  # noqa: F401
+from catalog import metrics, profile, scalar, tables, window  # noqa: F401
 from catalog.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
