@@ -10,6 +10,7 @@ from panelkit.functions import scalar as S
 from panelkit.operators import profile as P
 from panelkit.operators import window as Wn
 from panelkit.plans.panels import SPEC
+from panelkit.sources.io import materialize
 
 CUT = "2024-01-21"
 TRAIN = HOURLY_CAL + f", train AS (SELECT * FROM cal WHERE ts < TIMESTAMP '{CUT}')"
@@ -282,7 +283,8 @@ register(
 def _state(s, d):
     df, spec = hourly(s, d, "ts")
     df = Wn.transition(S.system_state(df), spec)
-    return Wn.robust_cross(df, spec, ["residual_load", "solar_share"]), spec
+    # The fit reads this table several times and the flags once more.
+    return materialize(Wn.robust_cross(df, spec, ["residual_load", "solar_share"])), spec
 
 
 REGIME_FRAME = (

@@ -15,6 +15,7 @@ from panelkit.functions.scalar import EVENING_PEAK, LATE_PEAK, MIDDAY
 from panelkit.operators.window import expanding_prev
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars
 from panelkit.plans.ranks import quantiles, weight_below
+from panelkit.sources.io import materialize
 
 # Proven size of the calendar part of a cell key.
 CELL_SIZE = {"hour": 25, "dow": 8, "month": 13}
@@ -326,7 +327,8 @@ def fit_regimes(train: DataFrame, spec: PanelSpec, hit_share: float = 0.10) -> D
     e = spec.entity
     want = _regime_quantiles()
     overall = row_scalars(quantiles(train, [], {f"g_{k}": v for k, v in want.items()}, spec))
-    t = quantiles(train, [e], want, spec).withColumns(overall)
+    # Small tables; fixing them here keeps the training rows from being read again per use.
+    t = materialize(quantiles(train, [e], want, spec).withColumns(overall))
     peak = F.col("hour").isin(*EVENING_PEAK)
     base = (
         peak
@@ -338,7 +340,7 @@ def fit_regimes(train: DataFrame, spec: PanelSpec, hit_share: float = 0.10) -> D
         .groupBy(e)
         .agg(F.try_divide(F.sum(flag(base)), F.sum(flag(peak))).alias("__share"))
     )
-    return (
+    return materialize(
         join_table(t, share, [e], spec)
         .withColumn("stress_filter", truth(F.col("__share") > hit_share))
         .drop("__share")

@@ -33,9 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows to the shared folder once and read them back.
+
+    Readers see only the columns they need and the planner knows the table's real size."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _scan(spark: SparkSession, path: str | Sequence[str], names: Iterable[str]) -> DataFrame:
