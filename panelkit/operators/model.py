@@ -25,13 +25,11 @@ from panelkit.functions.contract import clip, flag, rmse, safe_corr, truth
 from panelkit.operators.blend import tail_quantiles
 from panelkit.operators.profile import join_table, table_bound
 from panelkit.operators.window import rolling_pair_corr
-from panelkit.plans.gram import gram, pair_correlations, square
+from panelkit.plans.gram import LIMIT, gram, pair_correlations, ridge_solution, square
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars, time_bucket
 from panelkit.plans.ranks import quantiles
 from panelkit.sources.io import materialize
 
-LIMIT = 1e7
-
 # --- linear fits ---------------------------------------------------------------------------
 
 
@@ -99,28 +97,6 @@ def _with(
     return df.withColumns(row_scalars(table))
 
 
-def ridge_solution(
-    tri: Sequence[float], fills: Sequence[float], mean_y: float, k: int, alpha: float
-) -> tuple[float, np.ndarray]:
-    """(intercept, coefficients) from the shifted sums of one group."""
-    g = square(tri, k + 2)
-    n = g[0, 0]
-    m, my = g[0, 1 : k + 1] / n, g[0, k + 1] / n
-    cov = g[1 : k + 1, 1 : k + 1] / n - np.outer(m, m)
-    cross = g[1 : k + 1, k + 1] / n - m * my
-    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    std = np.where(std > 1e-12, std, 1.0)
-    try:
-        w = np.linalg.solve(n * cov / np.outer(std, std) + alpha * np.eye(k), n * cross / std)
-    except np.linalg.LinAlgError:
-        w = np.full(k, np.nan)
-    if not np.all(np.isfinite(w)):
-        return float(mean_y), np.zeros(k)
-    coefs = w / std
-    shift = np.clip(np.asarray(fills, dtype=float), -LIMIT, LIMIT)
-    return float(mean_y + my - coefs @ (shift + m)), coefs
-
-
 def linear_score(x: Sequence[str], intercept: Column, coefs: Column, fills: Column) -> Column:
     return sum((coefs[i] * _filled(c, fills[i]) for i, c in enumerate(x)), intercept)
 

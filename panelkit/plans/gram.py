@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Functions of this module run inside tasks; send their code along, so that executors need
+# numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Features are held within +-LIMIT in linear fits.
+LIMIT = 1e7
 # Up to this many columns all products are ordinary sums in one aggregate.
 NARROW = 24
 # Partial sums a task holds before it passes them on.
@@ -78,6 +86,28 @@ def square(tri: Sequence[float], k: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
+def ridge_solution(
+    tri: Sequence[float], fills: Sequence[float], mean_y: float, k: int, alpha: float
+) -> tuple[float, np.ndarray]:
+    """(intercept, coefficients) from the shifted sums of one group."""
+    g = square(tri, k + 2)
+    n = g[0, 0]
+    m, my = g[0, 1 : k + 1] / n, g[0, k + 1] / n
+    cov = g[1 : k + 1, 1 : k + 1] / n - np.outer(m, m)
+    cross = g[1 : k + 1, k + 1] / n - m * my
+    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    std = np.where(std > 1e-12, std, 1.0)
+    try:
+        w = np.linalg.solve(n * cov / np.outer(std, std) + alpha * np.eye(k), n * cross / std)
+    except np.linalg.LinAlgError:
+        w = np.full(k, np.nan)
+    if not np.all(np.isfinite(w)):
+        return float(mean_y), np.zeros(k)
+    coefs = w / std
+    shift = np.clip(np.asarray(fills, dtype=float), -LIMIT, LIMIT)
+    return float(mean_y + my - coefs @ (shift + m)), coefs
+
+
 def pair_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Pairwise-complete sums of ``cols`` as an array of shape (6, k, k): n, sum x, sum y,
     sum xx, sum yy, sum xy, taken around the column means.
