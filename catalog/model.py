@@ -7,6 +7,7 @@ from catalog.metrics import preds
 from catalog.profile import CUT, split
 from catalog.window import EVENT_TYPES, W, WIDE, hourly, pair_corr_sql
 from panelkit.functions import scalar as S
+from panelkit.functions.contract import wall_clock
 from panelkit.operators import folds as G
 from panelkit.operators import metrics as H
 from panelkit.operators import model as M
@@ -27,7 +28,7 @@ def features(s, d):
 
 
 def test_part(df):
-    return df.filter(F.col("ts") >= F.lit(CUT).cast("timestamp_ntz"))
+    return df.filter(F.col("ts") >= wall_clock(CUT))
 
 
 # --- linear fits ---------------------------------------------------------------------------

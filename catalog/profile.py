@@ -7,6 +7,7 @@ from catalog.common import HOURLY_CAL, register, shape
 from catalog.scalar import MET, met
 from catalog.window import TRANSITION_SQL, EXPANDING_SQL, W, hourly, rank_sql
 from panelkit.functions import scalar as S
+from panelkit.functions.contract import wall_clock
 from panelkit.operators import profile as P
 from panelkit.operators import window as Wn
 from panelkit.plans.panels import SPEC
@@ -17,7 +18,7 @@ TRAIN = HOURLY_CAL + f", train AS (SELECT * FROM cal WHERE ts < TIMESTAMP '{CUT}
 
 
 def split(df):
-    return df.filter(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"))
+    return df.filter(F.col("ts") < wall_clock(CUT))
 
 
 def q(c: str, p: float) -> str:
@@ -127,7 +128,7 @@ register(
 def _dynamic(s, d):
     df, spec = hourly(s, d)
     train = split(df)
-    test = df.filter(F.col("ts") >= F.lit(CUT).cast("timestamp_ntz"))
+    test = df.filter(F.col("ts") >= wall_clock(CUT))
     past, full = P.dynamic_profile(train, test, ["entity", "hour"], "p", spec)
     return past.unionByName(full, allowMissingColumns=True)
 

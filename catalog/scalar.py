@@ -75,7 +75,7 @@ register(
     lambda s, d: S.duration(
         panels.table(s, d, "events").select(
             F.col("event_id").alias("id"),
-            F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"),
+            F.to_date("ts").cast("timestamp_ntz").alias("start"),
             F.col("ts").cast("timestamp_ntz").alias("end"),
         ),
         "start",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import DAILY, HOURLY, HOURLY_CAL, PREDS, register, shape
 from catalog.window import hourly
+from panelkit.functions.contract import wall_clock
 from panelkit.operators import folds as G
 from panelkit.operators import joins as J
 from panelkit.operators import select as B
@@ -195,7 +196,7 @@ register(
 
 def _tag_split(s, d):
     df, spec = hourly(s, d)
-    cut = F.lit("2024-01-21").cast("timestamp_ntz")
+    cut = wall_clock("2024-01-21")
     both = B.tag_split(df.filter(F.col("ts") < cut), df.filter(F.col("ts") >= cut).drop("target"))
     return B.untag(lags(both, spec, ["load_forecast"], [24]))[1]
 

@@ -93,8 +93,12 @@ def has(df: DataFrame, *cols: str) -> bool:
 
 def epoch_micros(ts: str | Column) -> Column:
     """Wall-clock microseconds since 1970, independent of the session zone."""
-    start = F.lit("1970-01-01").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", start, col(ts))
+    return F.timestamp_diff("MICROSECOND", wall_clock("1970-01-01"), col(ts))
+
+
+def wall_clock(value: object) -> Column:
+    """Literal wall-clock time from a date, a naive datetime or text, whatever the zones."""
+    return F.lit(str(value)).cast("timestamp_ntz")
 
 
 def as_list(cols: str | Sequence[str] | None) -> list[str]:

@@ -9,7 +9,16 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.contract import clip, flag, has, num, positive, ratio, ratio_floor
+from panelkit.functions.contract import (
+    clip,
+    flag,
+    has,
+    num,
+    positive,
+    ratio,
+    ratio_floor,
+    wall_clock,
+)
 from panelkit.plans.layout import attach, scalars
 
 # The hour sets and season months of the reference features.
@@ -73,7 +82,7 @@ def year_harmonics(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def duration(df: DataFrame, start: str, end: str) -> DataFrame:
     """Hours between two wall-clock times and the start in epoch seconds."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    epoch = wall_clock("1970-01-01")
     return df.withColumns(
         {
             "duration_hours": F.timestamp_diff("MICROSECOND", F.col(start), F.col(end))

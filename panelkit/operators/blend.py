@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.contract import clip, flag, num, positive, truth
 from panelkit.operators.joins import align_predictions, lookup_backoff, ordered_bounds
-from panelkit.operators.profile import join_table, scopes
+from panelkit.operators.profile import join_table, scopes, summarize
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars
 from panelkit.plans.ranks import quantiles
+from panelkit.sources.io import materialize
 
 # --- averages ------------------------------------------------------------------------------
 
@@ -145,12 +146,11 @@ def soft_cap_fit(
         want |= {f"__l{i}": (part, a), f"__u{i}": (part, b)}
 
     def table(keys: list[str]) -> DataFrame:
-        wide = quantiles(train, keys, want, spec)
+        wide = summarize(train, keys, {"n": F.count(F.lit(1))}, want, spec)
         pick = [F.coalesce(*[F.col(f"__{s}{i}") for i in range(len(pairs))]) for s in "lu"]
-        return wide.select(*keys, pick[0].alias("lower"), pick[1].alias("upper"))
+        return wide.select(*keys, "n", pick[0].alias("lower"), pick[1].alias("upper"))
 
-    sizes = train.groupBy(e, "hour").agg(F.count(F.lit(1)).alias("n"))
-    cell = join_table(table([e, "hour"]), sizes, [e, "hour"], spec).filter(F.col("n") >= need)
+    cell = table([e, "hour"]).filter(F.col("n") >= need)
     overall = quantiles(train, [], {"lower": (y, lo), "upper": (y, hi)}, spec)
     return cell, table([e]), overall
 
@@ -340,13 +340,12 @@ def adaptive_blend(
     known = train.filter(F.col(y).isNotNull() & F.col("hour").isNotNull())
 
     def table(keys: list[str]) -> DataFrame:
-        std = known.groupBy(*keys).agg(F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("std"))
-        bounds = quantiles(known, keys, {"low": (y, lo), "high": (y, hi)}, spec)
-        return join_table(bounds, std, keys, spec)
+        std = F.coalesce(F.stddev_samp(y), F.lit(0.0))
+        return summarize(known, keys, {"std": std}, {"low": (y, lo), "high": (y, hi)}, spec)
 
-    overall = row_scalars(quantiles(known, [], {"low": (y, lo), "high": (y, hi)}, spec))
-    spread = scalars(known, F.stddev_samp(y).alias("std"))["std"]
-    overall["std"] = F.when(spread > 0, spread).otherwise(1.0)
+    # One small row, fixed so that the data is not read again for each use of it.
+    overall = row_scalars(materialize(table([])))
+    overall["std"] = F.when(overall["std"] > 0, overall["std"]).otherwise(1.0)
     names = ["low", "high", "std"]
     base = lookup_backoff(df, table([e, "hour"]), table([e]), overall, names, spec)
     base = ordered_bounds(base).withColumn(

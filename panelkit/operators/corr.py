@@ -110,7 +110,7 @@ def corr_by(
 ) -> DataFrame:
     """Pair correlations by month (first day), hour or dow."""
     keys = {
-        "month": F.to_date(F.date_trunc("month", spec.ts)),
+        "month": F.trunc(F.to_date(spec.ts), "month"),
         "hour": F.hour(spec.ts),
         "dow": F.weekday(spec.ts),
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, time_bucket
+from panelkit.sources.io import materialize
 
 COLUMNS = ["fold", "train_end", "val_start", "val_end"]
 
@@ -86,6 +87,7 @@ def timestamp_folds(
     """
     times = df.select(spec.ts).filter(F.col(spec.ts).isNotNull()).distinct()
     times = times.withColumn("__b", time_bucket(spec.ts, spec.bucket_seconds))
+    times = materialize(times)  # read several times below, and far smaller than the panel
     total = row_scalars(times.agg(F.count(F.lit(1)).cast("int").alias("n")))["n"]
     one = df.sparkSession.range(n).select(F.col("id").cast("int").alias("__k"))
     train_end, start, end, keep = _forward(n, purge, min_train, least)(F.col("__k"), total)

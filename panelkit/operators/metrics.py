@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.contract import as_list, rmse, safe_corr, truth
-from panelkit.operators.profile import join_table, table_bound
+from panelkit.operators.profile import join_table, summarize, table_bound
 from panelkit.plans.layout import PanelSpec, attach, row_scalars
 from panelkit.plans.ranks import quantiles
 
 
-def summarize(
-    df: DataFrame,
-    by: Sequence[str],
-    aggs: Mapping[str, Column],
-    wanted: Mapping[str, tuple[Column | str, float]],
-    spec: PanelSpec,
-) -> DataFrame:
-    """Aggregates and exact quantiles of the same groups."""
-    by = list(by)
-    if spec.bounded(by):
-        qs = {a: F.percentile(c, F.lit(float(q))) for a, (c, q) in wanted.items()}
-        return df.groupBy(*by).agg(*[e.alias(a) for a, e in {**aggs, **qs}.items()])
-    base = df.groupBy(*by).agg(*[e.alias(a) for a, e in aggs.items()])
-    if not wanted:
-        return base
-    table = quantiles(df, by, wanted, spec)
-    if by:
-        return attach(base, table, by, table_bound(spec, by))
-    return base.withColumns(row_scalars(table))
-
-
 def error_metrics(
     df: DataFrame, spec: PanelSpec, by: Sequence[str] | str = (), pred: str = "pred"
 ) -> DataFrame:

@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelkit.functions.contract import clip, flag, rmse, safe_corr, truth
+from panelkit.functions.contract import clip, flag, rmse, safe_corr, truth, wall_clock
 from panelkit.operators.blend import tail_quantiles
-from panelkit.operators.profile import join_table, table_bound
+from panelkit.operators.profile import join_table, summarize, table_bound
 from panelkit.operators.window import rolling_pair_corr
 from panelkit.plans.gram import LIMIT, gram, pair_correlations, ridge_solution, square
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars, time_bucket
@@ -55,11 +55,13 @@ def grouped_ridge(
     by, k = list(by), len(x)
     df = df.filter(F.col(y).isNotNull()).select(*by, y, *x)
     medians = {f"__m{i}": (F.col(c).cast("double"), 0.5) for i, c in enumerate(x)}
-    fills = quantiles(df, by, medians, spec).select(
-        *by, F.array(*[F.coalesce(m, F.lit(0.0)) for m in medians]).alias("fills")
+    means = {"mean_y": F.avg(y), "n": F.count(y)}
+    fills = F.array(*[F.coalesce(m, F.lit(0.0)) for m in medians]).alias("fills")
+    known = materialize(
+        summarize(df, by, means, medians, spec)
+        .filter(F.col("n") >= min_rows)
+        .select(*by, *means, fills)
     )
-    means = df.groupBy(*by).agg(F.avg(y).alias("mean_y"), F.count(y).alias("n"))
-    known = materialize(_with(means, fills, by, spec).filter(F.col("n") >= min_rows))
 
     # Sums are taken around the fill value and the mean of y, which keeps them well scaled.
     rows = _with(df, known, by, spec, how="inner")
@@ -166,7 +168,7 @@ def lambda_search(
     edges = [r["val_start"] for r in bounds] + [bounds[-1]["val_end"]] if bounds else []
     part = F.lit(0)
     for edge in edges:
-        part = part + flag(F.col(spec.ts) >= F.lit(edge).cast("timestamp_ntz"))
+        part = part + flag(F.col(spec.ts) >= wall_clock(edge))
     rows = oof.dropna(subset=[y, *models]).withColumn("__part", part)
     table = {r["__part"]: square(r["gram"], k + 2) for r in gram(rows, ["__part"], [*models, y]).collect()}
     zero = np.zeros((k + 2, k + 2))
@@ -382,14 +384,14 @@ def fold_bounds(folds: DataFrame) -> list[dict]:
 
 
 def train_part(df: DataFrame, fold: Mapping, spec: PanelSpec) -> DataFrame:
-    return df.filter(F.col(spec.ts) < F.lit(fold["train_end"]).cast("timestamp_ntz"))
+    return df.filter(F.col(spec.ts) < wall_clock(fold["train_end"]))
 
 
 def val_part(df: DataFrame, fold: Mapping, spec: PanelSpec) -> DataFrame:
     t = F.col(spec.ts)
-    out = df.filter(t >= F.lit(fold["val_start"]).cast("timestamp_ntz"))
+    out = df.filter(t >= wall_clock(fold["val_start"]))
     if fold["val_end"] is not None:
-        out = out.filter(t < F.lit(fold["val_end"]).cast("timestamp_ntz"))
+        out = out.filter(t < wall_clock(fold["val_end"]))
     return out
 
 
@@ -470,9 +472,8 @@ def tail_labels(
     names = list(want)
     if by_hour:
         own = {f"{n}_h": v for n, v in want.items()}
-        cells = quantiles(df, [e, "hour"], own, spec)
-        sizes = df.groupBy(e, "hour").agg(F.count(F.lit(1)).alias("__size"))
-        cells = join_table(cells, sizes, [e, "hour"], spec).filter(F.col("__size") >= hour_min_rows)
+        cells = summarize(df, [e, "hour"], {"__size": F.count(F.lit(1))}, own, spec)
+        cells = cells.filter(F.col("__size") >= hour_min_rows)
         rows = join_table(rows, cells.drop("__size"), [e, "hour"], spec)
         rows = rows.withColumns({n: F.coalesce(f"{n}_h", n) for n in want}).drop(*own)
     x = F.abs(F.col(y)) if mode == "abs" else F.col(y)

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from panelkit.functions.contract import clip, flag, has, positive, truth
 from panelkit.functions.scalar import EVENING_PEAK, LATE_PEAK, MIDDAY
@@ -42,6 +43,27 @@ def scopes(spec: PanelSpec) -> dict[str, list[str]]:
     return {"mhd": [e, "hour", "dow"], "mh": [e, "hour"], "m": [e]}
 
 
+def summarize(
+    df: DataFrame,
+    by: Sequence[str],
+    aggs: Mapping[str, Column],
+    wanted: Mapping[str, tuple[Column | str, float]],
+    spec: PanelSpec,
+) -> DataFrame:
+    """Aggregates and exact quantiles of the same groups."""
+    by = list(by)
+    if spec.bounded(by):
+        qs = {a: F.percentile(c, F.lit(float(q))) for a, (c, q) in wanted.items()}
+        return df.groupBy(*by).agg(*[e.alias(a) for a, e in {**aggs, **qs}.items()])
+    base = df.groupBy(*by).agg(*[e.alias(a) for a, e in aggs.items()])
+    if not wanted:
+        return base
+    table = quantiles(df, by, wanted, spec)
+    if by:
+        return attach(base, table, by, table_bound(spec, by))
+    return base.withColumns(row_scalars(table))
+
+
 # --- profiles ------------------------------------------------------------------------------
 
 
@@ -59,11 +81,50 @@ def profiles(
 ) -> DataFrame:
     """Attach the three profile levels. They include a training row's own target, so on
     training rows they leak; ``expanding_prev`` / ``dynamic_profile`` do not."""
+    finest = None
     for name, keys in scopes(spec).items():
-        df = join_table(df, profile(train, keys, f"{prefix}_{name}", c), keys, spec)
+        if finest is None:
+            table = finest = profile_sums(train, keys, c)
+        else:
+            table = merge_profiles(finest, keys)
+        df = join_table(df, named_profile(table, keys, f"{prefix}_{name}"), keys, spec)
     return df
 
 
+def profile_sums(train: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
+    """Count, mean and squared deviations per group: enough to derive every coarser level."""
+    n = F.count(c)
+    return train.groupBy(*keys).agg(
+        n.alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * n).alias("dev")
+    )
+
+
+def merge_profiles(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Coarser level of a ``profile_sums`` table, so the rows themselves are read only once.
+
+    The deviations of the means are taken around the group's mean, which does not cancel."""
+    group = W.partitionBy(*keys)
+    n, mean = F.col("n"), F.col("mean")
+    whole = F.try_divide(F.sum(n * mean).over(group), F.sum(n).over(group))
+    shifted = table.withColumn("__whole", whole)
+    gap = mean - F.col("__whole")
+    return shifted.groupBy(*keys).agg(
+        F.sum(n).alias("n"),
+        F.max("__whole").alias("mean"),
+        F.sum(F.col("dev") + n * gap * gap).alias("dev"),
+    )
+
+
+def named_profile(table: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    n = F.col("n")
+    return table.select(
+        *keys,
+        F.col("mean").alias(f"{prefix}_mean"),
+        F.when(n > 1, F.sqrt(F.col("dev") / (n - 1))).alias(f"{prefix}_std"),
+        n.alias(f"{prefix}_count"),
+    )
+
+
 def winsor_bounds(
     train: DataFrame,
     spec: PanelSpec,
@@ -75,9 +136,8 @@ def winsor_bounds(
     """Quantile bounds by (entity, hour), by entity and overall (one row)."""
     want = {"lo": (c, lo), "hi": (c, hi)}
     e = spec.entity
-    cell = quantiles(train, [e, "hour"], want, spec)
-    sizes = train.groupBy(e, "hour").agg(F.count(F.lit(1)).alias("n"))
-    cell = attach(cell, sizes, [e, "hour"]).filter(F.col("n") >= min_rows)
+    cell = summarize(train, [e, "hour"], {"n": F.count(F.lit(1))}, want, spec)
+    cell = cell.filter(F.col("n") >= min_rows)
     return (
         cell.select(e, "hour", F.col("lo").alias("lo_mh"), F.col("hi").alias("hi_mh")),
         quantiles(train, [e], {"lo_m": (c, lo), "hi_m": (c, hi)}, spec),

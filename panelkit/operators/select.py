@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelkit.functions.contract import flag
+from panelkit.functions.contract import flag, wall_clock
 from panelkit.plans.layout import PanelSpec, attach
 
 SALTS = 64
 
 
 def _at(year: int, month: int = 1):
-    return F.lit(datetime(year, month, 1)).cast("timestamp_ntz")
+    return wall_clock(date(year, month, 1))
 
 
 def exclude_year(df: DataFrame, year: int, keep_from_month: int, ts: str = "ts") -> DataFrame:
@@ -29,7 +29,7 @@ def exclude_year(df: DataFrame, year: int, keep_from_month: int, ts: str = "ts")
 
 def start_cutoff(df: DataFrame, start: str | date, ts: str = "ts") -> DataFrame:
     """Rows from ``start`` on."""
-    return df.filter(F.col(ts) >= F.lit(str(start)).cast("timestamp_ntz"))
+    return df.filter(F.col(ts) >= wall_clock(start))
 
 
 def entity_cutoff(

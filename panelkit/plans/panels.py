@@ -25,7 +25,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .groupBy(
             F.col("event_type").alias("entity"),
-            F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
+            F.timestamp_add("HOUR", F.hour("ts"), F.to_date("ts").cast("timestamp_ntz")).alias("ts"),
         )
         .agg(
             F.min("event_id").alias("id"),
