@@ -16,6 +16,8 @@ from panelkit.plans.layout import PanelSpec, attach, row_scalars, time_bucket
 from panelkit.sources.io import materialize
 
 COLUMNS = ["fold", "train_end", "val_start", "val_end"]
+# Bucket widths (seconds) through which a position among all timestamps is located.
+POSITION_WIDTHS = (86400.0, 1.0)
 
 
 def _numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,7 +69,7 @@ def _forward(n: int, purge: int, min_train: int, least: int):
     """Expanding folds of equal size after a purge gap."""
 
     def rule(k: Column, total: Column):
-        size = F.greatest(F.lit(least), F.floor(total / (n + 1)).cast("int"))
+        size = F.greatest(F.lit(least), F.floor(total / (n + 1)))
         train_end = size * (k + 1)
         start = train_end + purge
         end = F.least(start + size, total)
@@ -82,14 +84,13 @@ def timestamp_folds(
 ) -> DataFrame:
     """Expanding folds over distinct timestamps.
 
-    Timestamps at fold positions are found through counts per time bucket, so the full list is
+    Timestamps at fold positions are found through counts per day and second, so the full list is
     never gathered in one place.
     """
     times = df.select(spec.ts).filter(F.col(spec.ts).isNotNull()).distinct()
-    times = times.withColumn("__b", time_bucket(spec.ts, spec.bucket_seconds))
     times = materialize(times)  # read several times below, and far smaller than the panel
-    total = row_scalars(times.agg(F.count(F.lit(1)).cast("int").alias("n")))["n"]
-    one = df.sparkSession.range(n).select(F.col("id").cast("int").alias("__k"))
+    total = row_scalars(times.agg(F.count(F.lit(1)).alias("n")))["n"]
+    one = df.sparkSession.range(n).select(F.col("id").alias("__k"))
     train_end, start, end, keep = _forward(n, purge, min_train, least)(F.col("__k"), total)
     folds = (
         one.withColumns({"__te": train_end, "__vs": start, "__ve": end, "__keep": keep})
@@ -103,24 +104,35 @@ def timestamp_folds(
             ).alias("p")
         )
     )["p"]
-    # One row per bucket of the calendar: small enough for a single running count.
-    buckets = times.groupBy("__b").agg(F.count(F.lit(1)).alias("__m"))
-    past = W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.withColumn("__before", F.coalesce(F.sum("__m").over(past), F.lit(0)))
-    here = F.col("__before"), F.col("__before") + F.col("__m")
-    hit = (
-        buckets.withColumn("__wanted", wanted)
-        .filter(F.exists("__wanted", lambda p: (p >= here[0]) & (p < here[1])))
-        .select("__b", "__before")
-    )
-    place = W.partitionBy("__b").orderBy(spec.ts)
-    found = (
-        attach(times, hit, ["__b"], how="inner")
-        .withColumn("__p", F.col("__before") + F.row_number().over(place) - 1)
-        .filter(F.array_contains(wanted, F.col("__p").cast("int")))
+    # Days holding a wanted position, then seconds of those days, then their timestamps.
+    left = times.withColumn("__before", F.lit(0).cast("long"))
+    group: list[str] = []
+    for width in POSITION_WIDTHS:
+        left = left.withColumn("__b", time_bucket(spec.ts, width))
+        counts = left.groupBy(*group, "__b").agg(
+            F.count(F.lit(1)).alias("__m"), F.max("__before").alias("__base")
+        )
+        past = W.partitionBy(*(group or [F.lit(0)])).orderBy("__b")
+        passed = F.sum("__m").over(past.rowsBetween(W.unboundedPreceding, -1))
+        counts = counts.withColumn("__from", F.col("__base") + F.coalesce(passed, F.lit(0)))
+        here = F.col("__from"), F.col("__from") + F.col("__m")
+        hit = (
+            counts.withColumn("__wanted", wanted)
+            .filter(F.exists("__wanted", lambda p: (p >= here[0]) & (p < here[1])))
+            .select(*group, "__b", "__from")
+        )
+        left = (
+            attach(left.drop("__before"), hit, [*group, "__b"], how="inner")
+            .drop("__group")
+            .withColumnsRenamed({"__from": "__before", "__b": "__group"})
+        )
+        group = ["__group"]
+    place = W.partitionBy("__group").orderBy(spec.ts)
+    found = left.withColumn("__p", F.col("__before") + F.row_number().over(place) - 1).filter(
+        F.array_contains(wanted, F.col("__p"))
     )
     at = row_scalars(
-        found.agg(F.map_from_entries(F.collect_list(F.struct(F.col("__p").cast("int"), spec.ts))).alias("m"))
+        found.agg(F.map_from_entries(F.collect_list(F.struct("__p", spec.ts))).alias("m"))
     )["m"]
     return _numbered(
         folds.withColumns(

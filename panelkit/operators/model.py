@@ -594,6 +594,8 @@ def fit_uplift(
 # Target lags and rolling windows fed back by the recursive forecast.
 LAG_STEPS = (1, 2, 24, 48, 168)
 ROLL_WINDOWS = (24, 48, 168)
+# Bucket widths (seconds) over which the edge of a long history is narrowed down.
+EDGE_WIDTHS = (3600.0, 30 * 86400.0)
 
 
 def history_features(lag_steps=LAG_STEPS, windows=ROLL_WINDOWS) -> list[str]:
@@ -603,13 +605,20 @@ def history_features(lag_steps=LAG_STEPS, windows=ROLL_WINDOWS) -> list[str]:
 
 
 def edge_rows(df: DataFrame, spec: PanelSpec, n: int, newest: bool) -> DataFrame:
-    """The first or last n rows of each entity, cut per time bucket before they meet."""
+    """The first or last n rows of each entity.
+
+    A long history is cut per time bucket, then per wider bucket, before its rows meet."""
     order = [c.desc() if newest else c.asc() for c in spec.order]
-    out = df.withColumn("__b", time_bucket(spec.ts, spec.bucket_seconds))
-    for keys in ([spec.entity, "__b"], [spec.entity]):
+    widths: list[float] = []
+    if not spec.bounded([spec.entity]):
+        wider = [s for s in EDGE_WIDTHS if s > spec.bucket_seconds]
+        widths = [spec.bucket_seconds, *wider]
+    out = df
+    for width in [*widths, None]:
+        keys = [F.col(spec.entity)] + ([time_bucket(spec.ts, width)] if width else [])
         place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         out = out.withColumn("__r", place).filter(F.col("__r") <= n)
-    return out.drop("__b", "__r")
+    return out.drop("__r")
 
 
 def _tail_stats(hist: Column, n: int) -> tuple[Column, Column]:

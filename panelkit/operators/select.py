@@ -12,7 +12,8 @@ from pyspark.sql.window import Window as W
 from panelkit.functions.contract import flag, wall_clock
 from panelkit.plans.layout import PanelSpec, attach
 
-SALTS = 64
+# Salts a large group is spread over, step by step.
+SALTS = (2**18, 2**9)
 
 
 def _at(year: int, month: int = 1):
@@ -109,15 +110,16 @@ def sample_rows(
 ) -> DataFrame:
     """``n`` rows overall, or per group of ``by``, chosen by a seeded hash of the id.
 
-    The same rows are chosen whatever the partitioning. A large group is first cut to ``n``
-    rows per salt, so its rows never meet in one task.
+    The same rows are chosen whatever the partitioning. A large group is cut to ``n`` rows per
+    salt, with fewer salts each time, so its rows never meet in one task.
     """
     pick = F.xxhash64(F.col(spec.id), F.lit(seed))
     if not by:
         return df.orderBy(pick, F.col(spec.id)).limit(n)
     order = [F.col("__pick"), F.col(spec.id)]
-    out = df.withColumns({"__pick": pick, "__salt": F.pmod(pick, F.lit(SALTS))})
-    for keys in ([*by, "__salt"], list(by)):
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    out = df.withColumn("__pick", pick)
+    for salts in [1] if spec.bounded(by) else [*SALTS, 1]:
+        out = out.withColumn("__salt", F.pmod(F.col("__pick"), F.lit(salts)))
+        rank = F.row_number().over(W.partitionBy(*by, "__salt").orderBy(*order))
         out = out.withColumn("__rank", rank).filter(F.col("__rank") <= n)
     return out.drop("__pick", "__salt", "__rank")

@@ -28,6 +28,8 @@ from panelkit.functions.contract import as_list, epoch_micros
 BUCKET_WIDTHS = (30 * 86400.0, 86400.0, 3600.0, 60.0, 1.0, 0.001)
 # Rows up to which a table is broadcast; its size must be proven, never guessed.
 BROADCAST_ROWS = 100_000
+# Time buckets carried together in running sums over a long history.
+SPAN = 4096
 
 
 @dataclass(frozen=True)
@@ -166,19 +168,12 @@ def row_frames(
 
     size = max(spec.chunk_rows, halo, 1)
     tagged = df.withColumn("__bucket", time_bucket(spec.ts, spec.bucket_seconds))
-    span = W.partitionBy(*keys)
+    counts = tagged.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    long = attach(counts, totals.filter(F.col("__total") > size), keys, how="inner")
     layout = (
-        tagged.groupBy(*keys, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__total", F.sum("__n").over(span))
-        .withColumn(
-            "__before",
-            F.coalesce(
-                F.sum("__n").over(span.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
-        .filter(F.col("__total") > size)
+        past_sums(long, keys, "__bucket", {"__n": "__past"})
+        .withColumn("__before", F.coalesce("__past", F.lit(0)))
         .select(
             *keys,
             "__bucket",
@@ -206,6 +201,36 @@ def row_frames(
     return Frames(spread, part, W.partitionBy(*part).orderBy(*spec.order), done)
 
 
+def past_sums(
+    table: DataFrame, keys: Sequence[str], bucket: str, sums: Mapping[str, str]
+) -> DataFrame:
+    """Add the sums of all earlier buckets of the group to a table of (keys, bucket) totals.
+
+    ``sums`` maps a total to the name of its running sum. Fine buckets over a long history are
+    many, so they are carried in runs of SPAN buckets, and the runs in turn as a whole.
+    """
+    table = table.withColumn("__run", F.floor(F.col(bucket) / F.lit(SPAN)))
+    earlier = W.partitionBy(*keys).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)
+    runs = (
+        table.groupBy(*keys, "__run")
+        .agg(*[F.sum(c).alias(f"__r_{c}") for c in sums])
+        .select(*keys, "__run", *[F.sum(f"__r_{c}").over(earlier).alias(f"__o_{c}") for c in sums])
+    )
+    inside = (
+        W.partitionBy(*keys, "__run").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    )
+    out = attach(table, runs, [*keys, "__run"]).withColumns(
+        {f"__i_{c}": F.sum(c).over(inside) for c in sums}
+    )
+    both = {
+        name: F.coalesce(
+            F.col(f"__o_{c}") + F.col(f"__i_{c}"), F.col(f"__o_{c}"), F.col(f"__i_{c}")
+        )
+        for c, name in sums.items()
+    }
+    return out.withColumns(both).drop("__run", *[f"__o_{c}" for c in sums], *[f"__i_{c}" for c in sums])
+
+
 def running(
     df: DataFrame, spec: PanelSpec, keys: Sequence[str], sums: Mapping[str, Column]
 ) -> DataFrame:
@@ -219,16 +244,12 @@ def running(
         return df.withColumns({name: F.sum(term).over(past) for name, term in sums.items()})
 
     tagged = df.withColumn("__bucket", time_bucket(spec.ts, spec.bucket_seconds))
-    earlier = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        tagged.groupBy(*keys, "__bucket")
-        .agg(*[F.sum(term).alias(f"__t_{name}") for name, term in sums.items()])
-        .select(
-            *keys,
-            "__bucket",
-            *[F.sum(f"__t_{name}").over(earlier).alias(f"__c_{name}") for name in sums],
-        )
+    totals = tagged.groupBy(*keys, "__bucket").agg(
+        *[F.sum(term).alias(f"__t_{name}") for name, term in sums.items()]
     )
+    carried = past_sums(
+        totals, keys, "__bucket", {f"__t_{name}": f"__c_{name}" for name in sums}
+    ).drop(*[f"__t_{name}" for name in sums])
     inside = (
         W.partitionBy(*keys, "__bucket").orderBy(*spec.order).rowsBetween(W.unboundedPreceding, -1)
     )
