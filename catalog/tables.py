@@ -357,18 +357,14 @@ register(
     "G2_entity_day_folds",
     shape("entity train_end val_start val_end", "fold"),
     _entity_folds,
-    f"""WITH {DAILY}, days AS (SELECT entity, d, row_number() OVER (PARTITION BY entity ORDER BY d) - 1 AS p,
-        count(*) OVER (PARTITION BY entity) AS n FROM (SELECT DISTINCT entity, ts::DATE AS d FROM panel)),
-      sizes AS (SELECT DISTINCT entity, n, greatest(2, n // 5) AS v FROM days),
-      rule AS (SELECT entity, k, v * (k + 1) AS te, v * (k + 1) + 7 AS vs,
+    f"""WITH {DAILY}, days AS (SELECT entity, list_sort(list(DISTINCT ts::DATE)) AS l FROM panel GROUP BY 1),
+      sizes AS (SELECT entity, l, len(l) AS n, greatest(2, len(l) // 5) AS v FROM days),
+      rule AS (SELECT entity, k, l, v * (k + 1) AS te, v * (k + 1) + 7 AS vs,
         least(v * (k + 1) + 7 + v, n) AS ve FROM sizes, range(4) AS r(k))
-      SELECT rule.entity, row_number() OVER (PARTITION BY rule.entity ORDER BY k) AS fold,
-        (a.d + INTERVAL 1 DAY)::TIMESTAMP AS train_end, b.d::TIMESTAMP AS val_start,
-        (c.d + INTERVAL 1 DAY)::TIMESTAMP AS val_end
-      FROM rule JOIN days a ON a.entity = rule.entity AND a.p = te - 1
-        JOIN days b ON b.entity = rule.entity AND b.p = vs
-        JOIN days c ON c.entity = rule.entity AND c.p = ve - 1
-      WHERE te >= 300 AND ve > vs""",
+      SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY k) AS fold,
+        (l[te] + INTERVAL 1 DAY)::TIMESTAMP AS train_end, l[vs + 1]::TIMESTAMP AS val_start,
+        (l[ve] + INTERVAL 1 DAY)::TIMESTAMP AS val_end
+      FROM rule WHERE te >= 300 AND ve > vs""",
 )
 
 

@@ -89,21 +89,16 @@ def timestamp_folds(
     """
     times = df.select(spec.ts).filter(F.col(spec.ts).isNotNull()).distinct()
     times = materialize(times)  # read several times below, and far smaller than the panel
-    total = row_scalars(times.agg(F.count(F.lit(1)).alias("n")))["n"]
-    one = df.sparkSession.range(n).select(F.col("id").alias("__k"))
-    train_end, start, end, keep = _forward(n, purge, min_train, least)(F.col("__k"), total)
-    folds = (
-        one.withColumns({"__te": train_end, "__vs": start, "__ve": end, "__keep": keep})
-        .filter("__keep")
-        .drop("__keep")
-    )
-    wanted = row_scalars(
-        folds.agg(
-            F.array_distinct(
-                F.flatten(F.collect_list(F.array("__te", "__vs", "__ve")))
-            ).alias("p")
-        )
-    )["p"]
+    total = times.count()
+    size = max(least, total // (n + 1))
+    spots = []
+    for train_end in range(size, size * n + 1, size):
+        start = train_end + purge
+        end = min(start + size, total)
+        if total >= n + 2 and train_end >= min_train and end > start:
+            spots.append((train_end, start, end))
+    wanted = F.array(*[F.lit(p).cast("long") for p in sorted({p for s in spots for p in s})])
+
     # Days holding a wanted position, then seconds of those days, then their timestamps.
     left = times.withColumn("__before", F.lit(0).cast("long"))
     group: list[str] = []
@@ -116,33 +111,21 @@ def timestamp_folds(
         passed = F.sum("__m").over(past.rowsBetween(W.unboundedPreceding, -1))
         counts = counts.withColumn("__from", F.col("__base") + F.coalesce(passed, F.lit(0)))
         here = F.col("__from"), F.col("__from") + F.col("__m")
-        hit = (
-            counts.withColumn("__wanted", wanted)
-            .filter(F.exists("__wanted", lambda p: (p >= here[0]) & (p < here[1])))
-            .select(*group, "__b", "__from")
-        )
+        hit = counts.filter(F.exists(wanted, lambda p: (p >= here[0]) & (p < here[1])))
         left = (
-            attach(left.drop("__before"), hit, [*group, "__b"], how="inner")
+            attach(left.drop("__before"), hit.select(*group, "__b", "__from"), [*group, "__b"], how="inner")
             .drop("__group")
             .withColumnsRenamed({"__from": "__before", "__b": "__group"})
         )
         group = ["__group"]
     place = W.partitionBy("__group").orderBy(spec.ts)
-    found = left.withColumn("__p", F.col("__before") + F.row_number().over(place) - 1).filter(
-        F.array_contains(wanted, F.col("__p"))
-    )
-    at = row_scalars(
-        found.agg(F.map_from_entries(F.collect_list(F.struct("__p", spec.ts))).alias("m"))
-    )["m"]
-    return _numbered(
-        folds.withColumns(
-            {
-                "train_end": F.try_element_at(at, F.col("__te")),
-                "val_start": F.try_element_at(at, F.col("__vs")),
-                "val_end": F.try_element_at(at, F.col("__ve")),
-            }
-        ),
-        [],
+    found = left.withColumn("__p", F.col("__before") + F.row_number().over(place) - 1)
+    # At most three timestamps per fold.
+    at = {r["__p"]: r[spec.ts] for r in found.filter(F.array_contains(wanted, F.col("__p"))).collect()}
+    rows = [(i, *[at.get(p) for p in spot]) for i, spot in enumerate(spots, 1)]
+    return df.sparkSession.createDataFrame(
+        rows,
+        "fold int, train_end timestamp_ntz, val_start timestamp_ntz, val_end timestamp_ntz",
     )
 
 
