@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from check import session
+from panelkit.plans.session import local_session
 
 HEADLINE = (
     "D1_lags D3_rolling D5_volatility D9_expanding_prev D10_cross_section D11_pct_rank_avg "
@@ -22,7 +22,7 @@ def main() -> None:
     from catalog import QUERIES
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = session(os.environ.get("BENCH_CPUS", "8"))
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     QUERIES["D1_lags"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}

@@ -6,7 +6,7 @@ import sys
 import time
 
 import duckdb
-from pyspark.sql import SparkSession
+from panelkit.plans.session import local_session
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -14,20 +14,6 @@ TABLES = (
 ).split()
 
 
-def session(cpus: int | str = 8) -> SparkSession:
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
-
-
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -72,7 +58,7 @@ def compare(got, want) -> str:
 def main(sf_dir: str, prefixes: list[str]) -> int:
     from catalog import ORACLES, QUERIES
 
-    spark, con = session(), connect(sf_dir)
+    spark, con = local_session(), connect(sf_dir)
     failed = 0
     for name, query in QUERIES.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):

@@ -97,6 +97,9 @@ def timestamp_folds(
         end = min(start + size, total)
         if total >= n + 2 and train_end >= min_train and end > start:
             spots.append((train_end, start, end))
+    form = "fold int, train_end timestamp_ntz, val_start timestamp_ntz, val_end timestamp_ntz"
+    if not spots:
+        return df.sparkSession.createDataFrame([], form)
     wanted = F.array(*[F.lit(p).cast("long") for p in sorted({p for s in spots for p in s})])
 
     # Days holding a wanted position, then seconds of those days, then their timestamps.
@@ -123,10 +126,7 @@ def timestamp_folds(
     # At most three timestamps per fold.
     at = {r["__p"]: r[spec.ts] for r in found.filter(F.array_contains(wanted, F.col("__p"))).collect()}
     rows = [(i, *[at.get(p) for p in spot]) for i, spot in enumerate(spots, 1)]
-    return df.sparkSession.createDataFrame(
-        rows,
-        "fold int, train_end timestamp_ntz, val_start timestamp_ntz, val_end timestamp_ntz",
-    )
+    return df.sparkSession.createDataFrame(rows, form)
 
 
 def entity_day_folds(

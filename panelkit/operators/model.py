@@ -724,6 +724,12 @@ def correlation_groups(df: DataFrame, cols: Sequence[str], threshold: float) ->
     )
 
 
+def _blocks(spec: PanelSpec) -> int:
+    """Number of random blocks that keeps each within ``chunk_rows`` rows on average."""
+    total = spec.bounds.get(())
+    return max(1, -(-total.total_rows // spec.chunk_rows)) if total else 4096
+
+
 def permute_columns(
     df: DataFrame, cols: Sequence[str], spec: PanelSpec, seed: int, identity: bool = False
 ) -> DataFrame:
@@ -732,10 +738,8 @@ def permute_columns(
     Rows are dealt at random into blocks of bounded size and permuted inside each, so that no
     single task orders all of them; data within one block is permuted as a whole.
     """
-    total = spec.bounds.get(())
-    blocks = max(1, -(-total.total_rows // spec.chunk_rows)) if total else 4096
     i = F.col(spec.id)
-    block = F.pmod(F.xxhash64(i, F.lit(seed), F.lit("block")), F.lit(blocks))
+    block = F.pmod(F.xxhash64(i, F.lit(seed), F.lit("block")), F.lit(_blocks(spec)))
     drawn = i if identity else F.xxhash64(i, F.lit(seed))
     rows = df.withColumn("__block", block)
     place = W.partitionBy("__block")
@@ -759,24 +763,57 @@ def permutation_importance(
     pred: str = "pred",
 ) -> DataFrame:
     """(fold, name, group_size, baseline_rmse, rmse_permuted, delta, n_val_rows) for features,
-    groups or families of features."""
+    groups or families of features.
+
+    All groups are permuted and predicted in one job: every row appears once per group (and once
+    unchanged), takes the group's columns from the row drawn for it, and ``predict`` sees them
+    all together. Rows are drawn as in ``permute_columns``. ``predict`` must keep other columns.
+    """
+    names = list(groups)
+    seeds = [
+        seed + fold * 1000 + int.from_bytes(hashlib.sha256(n.encode()).digest()[:4], "big")
+        for n in names
+    ]
+    variants = F.array(
+        *[
+            F.struct(F.lit(g).alias("g"), F.lit(s).cast("long").alias("s"))
+            for g, s in [(-1, 0), *enumerate(seeds)]
+        ]
+    )
+    i, s, g = F.col(spec.id), F.col("__v.s"), F.col("__v.g")
+    rows = val.withColumn("__v", F.explode(variants)).withColumn(
+        "__block", F.pmod(F.xxhash64(i, s, F.lit("block")), F.lit(_blocks(spec)))
+    )
+    place = W.partitionBy("__v", "__block")
+    moved_cols = sorted({c for cols in groups.values() for c in cols})
+    drawn = F.when(g < 0, i).otherwise(F.xxhash64(i, s))
+    source = rows.select(
+        "__v",
+        "__block",
+        F.row_number().over(place.orderBy(drawn, i)).alias("__pos"),
+        F.struct(*moved_cols).alias("__src"),
+    )
+    target = rows.withColumn("__pos", F.row_number().over(place.orderBy(i)))
+    both = target.join(source, ["__v", "__block", "__pos"])
+    changed = {}
+    for c in moved_cols:
+        mine = [k for k, n in enumerate(names) if c in groups[n]]
+        changed[c] = F.when(g.isin(*mine), F.col("__src")[c]).otherwise(F.col(c))
+    shuffled = both.withColumns(changed).withColumn("__g", g)
+    shuffled = shuffled.select(*val.columns, "__g")
     err = F.col(pred) - F.col(spec.target)
-    base = predict(val).agg(rmse(err).alias("r"), F.count(err).alias("n")).first()
-    out = None
-    for name, cols in groups.items():
-        digest = int.from_bytes(hashlib.sha256(name.encode()).digest()[:4], "big")
-        shuffled = permute_columns(val, cols, spec, seed + fold * 1000 + digest)
-        part = predict(shuffled).agg(rmse(err).alias("rmse_permuted")).select(
-            F.lit(fold).alias("fold"),
-            F.lit(name).alias("name"),
-            F.lit(len(cols)).alias("group_size"),
-            F.lit(base["r"]).alias("baseline_rmse"),
-            "rmse_permuted",
-            (F.col("rmse_permuted") - base["r"]).alias("delta"),
-            F.lit(base["n"]).alias("n_val_rows"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    scored = predict(shuffled).groupBy("__g").agg(rmse(err).alias("r"), F.count(err).alias("n"))
+    result = {row["__g"]: row for row in scored.collect()}  # one row per group
+    base = result[-1]
+    table = [
+        (fold, n, len(groups[n]), base["r"], result[k]["r"], result[k]["r"] - base["r"], base["n"])
+        for k, n in enumerate(names)
+    ]
+    return val.sparkSession.createDataFrame(
+        table,
+        "fold int, name string, group_size int, baseline_rmse double, rmse_permuted double, "
+        "delta double, n_val_rows bigint",
+    )
 
 
 def importance_summary(perm: DataFrame, spec: PanelSpec, by: str = "name") -> DataFrame:

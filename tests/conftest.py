@@ -5,12 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from check import session  # noqa: E402
+from panelkit.plans.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session(4)
+    s = local_session(4)
     yield s
     s.stop()
 

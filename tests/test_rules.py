@@ -232,3 +232,17 @@ def test_weights_sum_to_one(spark, errors):
     df = spark.createDataFrame([(str(i), float(e)) for i, e in enumerate(errors)], "name string, rmse double")
     got = [r.weight for r in I.inverse_error_weights(df).collect()]
     assert sum(got) == pytest.approx(1.0)
+
+
+def test_tables_go_to_the_shared_folder_of_the_session(spark, tmp_path):
+    class Conf:
+        def get(self, key, default=None):
+            return str(tmp_path) if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    assert io.new_path(Session(), "t").startswith(str(tmp_path))
+    df = spark.range(3)
+    assert io.materialize(df).count() == 3
+    assert io.shared_dir(spark) == spark.sparkContext.getCheckpointDir()
