@@ -112,15 +112,18 @@ def build(texts: dict[str, list[str]], settings: Settings) -> Model:
             if len(seq) >= settings.chars:
                 break
         edges = suffix_automaton(seq[: settings.chars])
-        root = np.zeros(width, "i8")
+        # An entry is the next state times 4 plus the phrases that end: one where the match cannot
+        # go on, and one more for a symbol that the labelled text does not hold, itself a phrase.
+        root = np.full(width, offset * width * 4 + 2, "i8")
         for s, to in edges[0].items():
             if s != 1:
-                root[s] = to
-        table = np.tile((root + offset) * width * 2 + 1, (len(edges), 1))
+                root[s] = (to + offset) * width * 4 + 1
+        table = np.tile(root, (len(edges), 1))
+        table[0] -= 1  # no phrase is open at the root
         for state, out in enumerate(edges):
             for s, to in out.items():
                 if s != 1:
-                    table[state, s] = (to + offset) * width * 2
+                    table[state, s] = (to + offset) * width * 4
         tables.append(table)
         roots.append(offset * width)
         offset += len(edges)
@@ -194,9 +197,9 @@ class Parser:
             for step, n in enumerate(active.tolist()):
                 here = flat[begin_[:n] + step]
                 step_to = self.table[state[:n] + here[:, None]]
-                ended[:n] += step_to & 1
-                state[:n] = step_to >> 1
-            np.add.at(out, owner[span], ended + 1)  # the last phrase of a window ends with it
+                ended[:n] += step_to & 3
+                state[:n] = step_to >> 2
+            np.add.at(out, owner[span], ended + (state != self.roots))  # open ones end here
         return out, lengths
 
 

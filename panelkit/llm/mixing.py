@@ -72,6 +72,7 @@ def flight(pi: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     pi = np.where(pi < EDGE, 0.0, np.where(pi > 1 - EDGE, 1.0, pi)).tolist()
     size, draws = size.tolist(), draws.tolist()
     held: list[int] = []
+    steps = 0
     for k in range(len(pi)):
         if 0.0 < pi[k] < 1.0:
             held.append(k)
@@ -87,7 +88,8 @@ def flight(pi: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
                 break
             up = min((1 - pi[i]) / v if v > 0 else pi[i] / -v for i, v in zip(held, u) if v)
             down = min(pi[i] / v if v > 0 else (1 - pi[i]) / -v for i, v in zip(held, u) if v)
-            step = up if draws[held[0]] * (up + down) < down else -down
+            step = up if draws[steps] * (up + down) < down else -down
+            steps += 1  # every step decides a unit, so the draws suffice
             for i, v in zip(held, u):
                 p = pi[i] + step * v
                 pi[i] = 0.0 if p < EDGE else 1.0 if p > 1 - EDGE else p

@@ -44,7 +44,7 @@ def symbol_table() -> np.ndarray:
 
 
 class Grams:
-    """Numbers of the four-symbol grams of texts; a text starts after white space."""
+    """Numbers of the four-symbol grams of texts; white space comes before and after a text."""
 
     def __init__(self):
         self.table = symbol_table()
@@ -120,7 +120,7 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
         return np.array([0.0, 0.5, 0.75, 0.9])
     y = n[1] / (n[1] + 2 * n[2])
     d = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
-    return np.clip(d, 0.0, [0.0, 0.95, 1.9, 2.9])
+    return np.clip(d, [0.0, 0.1, 0.1, 0.1], [0.0, 0.95, 1.9, 2.9])
 
 
 def _level(grams: np.ndarray, counts: np.ndarray, contexts: int, shorter: np.ndarray):

@@ -70,11 +70,11 @@ ORACLES = {
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
   FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 e AS (SELECT doc_id, unnest(s) AS g FROM s),
