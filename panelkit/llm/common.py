@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,14 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(rest == fold, F.lit(True))
 
 
+def slices(batch, rows: int = 256) -> Iterator:
+    """An Arrow batch or array in slices, so that few texts are Python strings at a time; memory
+    that Arrow holds unused goes back when the last one is done."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def add_running_start(df: DataFrame, order: list[Column], amount: str, out: str) -> DataFrame:
     """Add the sum of ``amount`` over all earlier rows of a total order, without one sorted task.
 

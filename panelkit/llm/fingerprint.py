@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelkit.llm.common import parts
+from panelkit.llm.common import parts, slices
 from panelkit.sources.io import materialize
 
 #: Buckets of the digest, and what a step of the length code weighs against a quartile step.
@@ -135,7 +135,7 @@ def with_next(docs: DataFrame, visit, schema: str, id_col: str = "doc_id", text_
 
 def _pairs(batches):
     held = None
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         for row in zip(*(b[c].to_pylist() for c in ("id", "text", "part", "guest"))):
             if held is not None and not held[3]:
                 yield held[0], held[1], row[1]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from panelkit.llm.common import WORDS, parts
+from panelkit.llm.common import WORDS, parts, slices
 from panelkit.llm.components import components
 from panelkit.sources.io import materialize
 
@@ -20,11 +20,11 @@ PLACES = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
      0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xBF58476D1CE4E5B9], "u8",
 )
-MEMO = 500_000
+MEMO = 150_000
 #: Rows, and entries, that a block of the product has about at most.
 BLOCK, ENTRIES = 1500, 1_000_000
 #: Texts whose shingles are dealt out together.
-BATCH = 1000
+BATCH = 500
 _LOWER = str.maketrans({c: chr(ord(c) + 32) for c in map(chr, range(ord("A"), ord("Z") + 1))})
 
 
@@ -100,12 +100,11 @@ def _dealt(docs: DataFrame, s: Settings, deals: int) -> DataFrame:
 
         shingles, made = Shingles(s.words), 0
         for b in batches:
-            keys, texts = b["key"].to_pylist(), b["text"].to_pylist()
-            for at in range(0, len(keys), BATCH):
-                sets = [shingles(t) for t in texts[at : at + BATCH]]
+            for some in slices(b, BATCH):
+                sets = [shingles(t) for t in some["text"].to_pylist()]
                 number = (TaskContext.get().partitionId() << 32) + made
                 made += 1
-                yield from _packed(number, keys[at : at + BATCH], sets, deals)
+                yield from _packed(number, some["key"].to_pylist(), sets, deals)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -295,9 +294,8 @@ def links(
     def run(batches):
         shingles = Shingles(s.words)
         for b in batches:
-            keys, texts = b["key"].to_pylist(), b["text"].to_pylist()
-            for at in range(0, len(keys), BATCH):
-                sets = [shingles(t) for t in texts[at : at + BATCH]]
+            for some in slices(b, BATCH):
+                sets = [shingles(t) for t in some["text"].to_pylist()]
                 sigs = [signature(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [

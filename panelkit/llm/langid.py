@@ -8,12 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelkit.llm.common import in_fold
+from panelkit.llm.common import in_fold, slices
 
 UNDETERMINED = "und"
 
@@ -202,8 +202,21 @@ class Parser:
             np.add.at(out, owner[span], ended + (state != self.roots))  # open ones end here
         return out, lengths
 
-
-_UND = 1e9
+    def best(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """(language, score, phrases per symbol) of each text."""
+        names = self.model.languages
+        if not names:
+            return [(UNDETERMINED, 0.0, None)] * len(texts)
+        out = []
+        for text, counts, n in zip(texts, *self.phrases(texts)):
+            if not any(map(str.isalpha, text or "")):
+                out.append((UNDETERMINED, 0.0, None))
+                continue
+            i = int(counts.argmin())
+            mine, rest = int(counts[i]), int(counts.sum() - counts[i])
+            share = rest / (rest + (len(names) - 1) * mine) if len(names) > 1 else 1.0
+            out.append((names[i], share, mine / int(n)))
+        return out
 
 
 def predict(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
@@ -214,44 +227,20 @@ def predict(spark: SparkSession, model: Model, text_col: str = "text") -> Column
     counts go to the first language by name. Whole texts are parsed."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rate double")
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, rate double")
+    def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = Parser(shared.value)
-        names = np.array(parser.model.languages, object)
         for texts in batches:
-            langs, scores, rates = [], [], []
-            for some in _by_size(texts):
-                if not len(names):
-                    langs += [UNDETERMINED] * len(some)
-                    scores += [0.0] * len(some)
-                    rates += [None] * len(some)
-                    continue
-                counts, lengths = parser.phrases(some)
-                best = counts.argmin(axis=1)
-                mine = counts[np.arange(len(some)), best]
-                rest = counts.sum(axis=1) - mine
-                share = rest / np.maximum(1, rest + (len(names) - 1) * mine) if len(names) > 1 else np.ones(len(some))
-                lettered = [any(map(str.isalpha, t or "")) for t in some]
-                langs += [names[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
-                scores += [float(s) if ok else 0.0 for s, ok in zip(share, lettered)]
-                rates += [m / n if ok else None for m, n, ok in zip(mine.tolist(), lengths.tolist(), lettered)]
-            yield pd.DataFrame({"lang_pred": langs, "score": scores, "rate": pd.Series(rates, dtype="float64")})
+            found = [r for some in slices(texts, 512) for r in parser.best(some.to_pylist())]
+            langs, scores, rates = zip(*found) if found else ((), (), ())
+            yield pa.StructArray.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                ["lang_pred", "score", "rate"],
+            )
 
     return parsed(F.col(text_col))
 
 
-def _by_size(texts, most: int = 4_000_000) -> Iterator[list[str | None]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t or "")
-        if size > most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def identify(
     docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     text_col: str = "text", lang_col: str = "lang",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelkit.llm.common import slices
 from panelkit.llm.units import Encoder, kept
 from panelkit.sources.io import materialize
 
@@ -33,7 +34,7 @@ def cut_documents(
 
     def cut(batches):
         enc = kept(Encoder, tokenizer)
-        for b in batches:
+        for b in (some for whole in batches for some in slices(whole)):
             cols: list[list] = [[], [], [], [], [], []]
             for key, ids in zip(b["key"].to_pylist(), enc.ids(b["text"].to_pylist())):
                 ids += end

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import WORDS
+from panelkit.llm.common import WORDS, slices
 from panelkit.sources.io import materialize
 
 ORDER, BITS = 4, 6
@@ -81,7 +81,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches):
         grams = Grams()
         for b in batches:
-            for some in _chunks(b["text"].to_pylist()):
+            for some in (x for part in slices(b["text"], 512) for x in _chunks(part.to_pylist())):
                 g, n = np.unique(grams(some)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.astype("i4")), pa.array(n)], ["gram", "n"])
 
@@ -225,7 +225,7 @@ def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 512)):
             at = 0
             for some in _chunks(b["text"].to_pylist()):
                 bits, sizes = scorer(some)

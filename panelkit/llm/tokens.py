@@ -11,14 +11,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import parts
+from panelkit.llm.common import parts, slices
 from panelkit.llm.units import Encoder, TokenCounter, kept, single_token_strings
 from panelkit.sources.io import materialize, new_path
 
@@ -39,11 +38,11 @@ def count_tokens(
     spark = docs.sparkSession
     single = spark.sparkContext.broadcast(single_token_strings(tokenizer))
 
-    @F.pandas_udf("long")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = kept(TokenCounter, tokenizer, single.value)
         for texts in batches:
-            yield pd.Series(list(counter.counts(texts)), dtype="int64")
+            yield pa.array([n for some in slices(texts) for n in counter.counts(some.to_pylist())], pa.int64())
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(
@@ -118,7 +117,7 @@ def write_token_files(
         enc = kept(Encoder, tokenizer)
         wide = enc.tokenizer.get_vocab_size() > 65536
         press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value), write_content_size=True)
-        for b in batches:
+        for b in (some for whole in batches for some in slices(whole)):
             ids = [i + end for i in enc.ids(b["text"].to_pylist())]
             frames = [press.compress(_narrow(i, enc) if not wide else i) for i in ids]
             yield pa.RecordBatch.from_arrays(

@@ -7,20 +7,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from panelkit.llm.common import in_fold
+from panelkit.llm.common import in_fold, slices
 
 TOKENS = re.compile(r"\w+").findall
 #: Odd multipliers that tell the features of a word, its beginnings, pairs and skip pairs apart.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "u8")
 #: Beginnings of words (in letters) that count as words of their own: they join inflected forms.
 STEMS = (3, 4, 5, 6)
-MEMO = 300_000
+MEMO = 150_000
 
 
 @dataclass(frozen=True)
@@ -134,7 +133,7 @@ def fit(
     def run(batches):
         features, xs, ys = Features(settings.bits), [], []
         for b in batches:
-            xs += [features(t).astype("i4") for t in b["text"].to_pylist()]
+            xs += [features(t).astype("i4") for some in slices(b["text"]) for t in some.to_pylist()]
             ys += b["y"].to_pylist()
         w, bias = ftrl(xs, np.array(ys, "float64"), settings)
         on = np.flatnonzero(w)
@@ -168,11 +167,11 @@ def score(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
     """Column with the score of a whole text; null and empty texts get the score of the bias."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series([scorer(t) for t in texts], dtype="float64")
+            yield pa.array([scorer(t) for some in slices(texts) for t in some.to_pylist()], pa.float64())
 
     return scored(F.col(text_col))
 

@@ -25,7 +25,7 @@ PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
 #: The pre-token pattern that the library's byte-level pre-tokenizer builds in.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that one worker remembers (about 200 bytes each), and characters of the longest.
-MEMO, LONGEST = 700_000, 200
+MEMO, LONGEST = 400_000, 200
 
 
 def _byte_letters() -> dict[int, str]:
@@ -99,9 +99,10 @@ class Encoder:
         return _packed("I", self.merged(token)).tobytes()
 
     def room(self) -> None:
-        for held in (self.memo, self.tokens):
-            if len(held) > MEMO:
-                held.clear()
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        if len(self.tokens) > MEMO // 2:
+            self.tokens.clear()
 
     def _piece(self, piece: str) -> bytes:
         if self.special(piece):
