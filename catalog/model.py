@@ -367,8 +367,7 @@ register(
       reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
       parts AS (SELECT a AS feature, count(*) AS group_size, string_agg(b, '|' ORDER BY b) AS members
         FROM reach GROUP BY a)
-      SELECT feature, group_size, 0.6 AS corr_threshold, 'corr_' || lpad((('0x' || sha256(members)[1:16])::UBIGINT
-        % 10000000000)::VARCHAR, 10, '0') AS group_id FROM parts""",
+      SELECT feature, group_size, 0.6 AS corr_threshold, 'group_' || md5(members)[1:12] AS group_id FROM parts""",
 )
 
 

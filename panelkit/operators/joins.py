@@ -104,13 +104,14 @@ def lookup_backoff(
 
     The tables hold the columns of ``names``; existing columns of that name are replaced.
     """
+    bound = None if cell_keys else spec.table_rows(25)  # own keys may have any number of cells
     cell_keys = list(cell_keys or [spec.entity, "hour"])
     rename = {n: f"__c_{n}" for n in names}, {n: f"__e_{n}" for n in names}
     out = attach(
         df.drop(*names),
         cell.select(*cell_keys, *names).withColumnsRenamed(rename[0]),
         cell_keys,
-        spec.table_rows(25),
+        bound,
     )
     out = attach(
         out,

@@ -7,8 +7,10 @@ the driver. Predictions are always keyed by id."""
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,20 @@ from panelkit.operators.profile import join_table, summarize, table_bound
 from panelkit.operators.window import rolling_pair_corr
 from panelkit.plans.gram import LIMIT, gram, pair_correlations, ridge_solution, square
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars, time_bucket
-from panelkit.plans.ranks import quantiles
+from panelkit.plans.ranks import positions, quantiles
 from panelkit.sources.io import materialize
 
 # --- linear fits ---------------------------------------------------------------------------
 
 
+def _finite(c: str) -> Column:
+    """The value as double, NULL where it is NaN or infinite."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def _filled(c: str, fill: Column) -> Column:
-    return clip(F.coalesce(F.col(c).cast("double"), fill), -LIMIT, LIMIT)
+    return clip(F.coalesce(_finite(c), fill), -LIMIT, LIMIT)
 
 
 def grouped_ridge(
@@ -48,13 +56,13 @@ def grouped_ridge(
 ) -> DataFrame:
     """Ridge on standardised features with a free intercept, one model per group.
 
-    Missing features take the group's median (0 where it has none) and are held within +-1e7.
+    Missing, NaN and infinite features take the group's median (0 where it has none) and are held within +-1e7.
     Returns (by, n, mean_y, intercept, coefs, fills); a group whose system cannot be solved
     predicts its mean.
     """
     by, k = list(by), len(x)
     df = df.filter(F.col(y).isNotNull()).select(*by, y, *x)
-    medians = {f"__m{i}": (F.col(c).cast("double"), 0.5) for i, c in enumerate(x)}
+    medians = {f"__m{i}": (_finite(c), 0.5) for i, c in enumerate(x)}
     means = {"mean_y": F.avg(y), "n": F.count(y)}
     fills = F.array(*[F.coalesce(m, F.lit(0.0)) for m in medians]).alias("fills")
     known = materialize(
@@ -127,14 +135,12 @@ def predict_ridge(
 
 
 def nonneg_weights(xtx: np.ndarray, xty: np.ndarray, lam: float) -> np.ndarray:
-    """Ridge without intercept, negatives cut, scaled to sum 1; equal if all are cut."""
-    a = xtx + lam * np.eye(len(xtx))
-    try:
-        w = np.linalg.solve(a, xty)
-    except np.linalg.LinAlgError:
-        w = np.linalg.pinv(a) @ xty
-    w = np.clip(w, 0.0, None)
-    return w / w.sum() if w.sum() > 0 else np.full(len(w), 1.0 / len(w))
+    """Ridge without intercept, negatives cut, scaled to sum 1; equal if all are cut. Of the
+    solutions of a singular system the shortest."""
+    k = len(xty)
+    kept = np.maximum(np.linalg.lstsq(xtx + np.diag(np.full(k, lam)), xty, rcond=None)[0], 0.0)
+    total = float(kept.sum())
+    return np.ones(k) / k if total <= 0 else kept / total
 
 
 def nonneg_stack(
@@ -206,26 +212,24 @@ def corr_prune(
 ) -> tuple[list[str], DataFrame]:
     """Models kept, and (step, dropped, kept, pair_corr, rmse_dropped, rmse_kept): the worse
     model of the most correlated pair goes until no pair exceeds the threshold."""
-    matrix = np.nan_to_num(np.abs(pair_correlations(oof, models)))
+    strength = np.nan_to_num(np.abs(pair_correlations(oof, models)))
     errors = oof.agg(*[rmse(F.col(m) - F.col(y)).alias(m) for m in models]).first()
-    active, drops = list(range(len(models))), []
-    while len(active) > 1:
-        sub = matrix[np.ix_(active, active)]
-        np.fill_diagonal(sub, 0.0)
-        i, j = np.unravel_index(np.argmax(sub), sub.shape)
-        if sub[i, j] <= threshold:
-            break
-        a, b = active[i], active[j]
-        out, keep = (a, b) if errors[models[a]] > errors[models[b]] else (b, a)
-        drops.append(
-            (len(drops) + 1, models[out], models[keep], float(sub[i, j]), errors[models[out]], errors[models[keep]])
-        )
-        active.remove(out)
+    above = [(i, j) for i, j in combinations(range(len(models)), 2) if strength[i, j] > threshold]
+    gone: set[int] = set()
+    drops = []
+    # Strongest pair first; a pair that lost a member has nothing left to settle.
+    for i, j in sorted(above, key=lambda p: (-strength[p], p)):
+        if gone & {i, j}:
+            continue
+        worse, better = sorted((i, j), key=lambda m: (-errors[models[m]], -m))
+        gone.add(worse)
+        pair = (models[worse], models[better])
+        drops.append((len(drops) + 1, *pair, float(strength[i, j]), *[errors[m] for m in pair]))
     table = oof.sparkSession.createDataFrame(
         drops,
         "step int, dropped string, kept string, pair_corr double, rmse_dropped double, rmse_kept double",
     )
-    return [models[i] for i in active], table
+    return [m for i, m in enumerate(models) if i not in gone], table
 
 
 # --- global and local models ---------------------------------------------------------------
@@ -303,15 +307,22 @@ def fit_global(
     cats: Sequence[str] = (),
     **params,
 ) -> GlobalModel:
-    """One model over all entities: ``gbt``, ``forest``, ``ridge`` or ``lasso``."""
+    """One model over all entities: ``gbt``, ``forest``, ``ridge`` or ``lasso``.
+
+    Defaults: ridge has a penalty of 1 on the sum of squared errors (which divides by the number of
+    rows here), lasso 1e-4 on their mean; forests have two rows per leaf or more."""
+    if family == "ridge" and "regParam" not in params:
+        params["regParam"] = 1.0 / max(1, df.filter(F.col(y).isNotNull()).count())
     made = {
         "gbt": lambda: GBTRegressor(labelCol="__y", seed=42, **params),
-        "forest": lambda: RandomForestRegressor(labelCol="__y", seed=42, **params),
+        "forest": lambda: RandomForestRegressor(
+            labelCol="__y", seed=42, **{"minInstancesPerNode": 2, **params}
+        ),
         "ridge": lambda: LinearRegression(
-            labelCol="__y", elasticNetParam=0.0, **{"regParam": 0.1, **params}
+            labelCol="__y", elasticNetParam=0.0, **params
         ),
         "lasso": lambda: LinearRegression(
-            labelCol="__y", elasticNetParam=1.0, **{"regParam": 0.1, **params}
+            labelCol="__y", elasticNetParam=1.0, **{"regParam": 1e-4, **params}
         ),
     }
     if family not in made:
@@ -716,40 +727,37 @@ def correlation_groups(df: DataFrame, cols: Sequence[str], threshold: float) ->
     rows = []
     for root in sorted(set(label)):
         members = sorted(c for c, g in zip(cols, label) if g == root)
-        digest = hashlib.sha256("|".join(members).encode()).digest()
-        group = f"corr_{int.from_bytes(digest[:8], 'big') % 10**10:010d}"
+        group = "group_" + hashlib.md5("|".join(members).encode()).hexdigest()[:12]
         rows += [(group, m, len(members), float(threshold)) for m in members]
     return df.sparkSession.createDataFrame(
         rows, "group_id string, feature string, group_size int, corr_threshold double"
     )
 
 
-def _blocks(spec: PanelSpec) -> int:
-    """Number of random blocks that keeps each within ``chunk_rows`` rows on average."""
-    total = spec.bounds.get(())
-    return max(1, -(-total.total_rows // spec.chunk_rows)) if total else 4096
+def _partners(ids: DataFrame, spec: PanelSpec, seeds: Sequence[int], identity: bool = False) -> DataFrame:
+    """(__g, id, __from): for seed number g, the row that each row takes its values from.
+
+    The row at place p by id takes them from the row at place p by seeded hash. Only ids are
+    ordered, by range, so the permutation is the same however many rows or tasks there are."""
+    i = F.col(spec.id)
+    ids = materialize(ids.select(i))
+    n = ids.count()
+    seed = F.get(F.array(*[F.lit(s).cast("long") for s in seeds]), F.col("__g"))
+    drawn = i if identity else F.xxhash64(i, seed)
+    every = ids.select(i, F.explode(F.lit(list(range(len(seeds))))).alias("__g"))
+    source = positions(every, [F.col("__g"), drawn, i], "__pos").select(
+        "__g", (F.col("__pos") - F.col("__g") * n).alias("__pos"), i.alias("__from")
+    )
+    return positions(ids, [i], "__pos").join(source, "__pos").drop("__pos")
 
 
 def permute_columns(
     df: DataFrame, cols: Sequence[str], spec: PanelSpec, seed: int, identity: bool = False
 ) -> DataFrame:
-    """Rows with the values of ``cols`` moved together by a seeded permutation.
-
-    Rows are dealt at random into blocks of bounded size and permuted inside each, so that no
-    single task orders all of them; data within one block is permuted as a whole.
-    """
-    i = F.col(spec.id)
-    block = F.pmod(F.xxhash64(i, F.lit(seed), F.lit("block")), F.lit(_blocks(spec)))
-    drawn = i if identity else F.xxhash64(i, F.lit(seed))
-    rows = df.withColumn("__block", block)
-    place = W.partitionBy("__block")
-    target = rows.withColumn("__pos", F.row_number().over(place.orderBy(i)))
-    source = rows.select(
-        "__block",
-        F.row_number().over(place.orderBy(drawn, i)).alias("__pos"),
-        *cols,
-    )
-    moved = target.drop(*cols).join(source, ["__block", "__pos"])
+    """Rows with the values of ``cols`` moved together by a seeded permutation of all rows."""
+    pairs = _partners(df, spec, [seed], identity).drop("__g")
+    source = df.select(F.col(spec.id).alias("__from"), *cols)
+    moved = df.drop(*cols).join(pairs, spec.id).join(source, "__from")
     return moved.select(*df.columns)
 
 
@@ -770,37 +778,18 @@ def permutation_importance(
     all together. Rows are drawn as in ``permute_columns``. ``predict`` must keep other columns.
     """
     names = list(groups)
-    seeds = [
-        seed + fold * 1000 + int.from_bytes(hashlib.sha256(n.encode()).digest()[:4], "big")
-        for n in names
-    ]
-    variants = F.array(
-        *[
-            F.struct(F.lit(g).alias("g"), F.lit(s).cast("long").alias("s"))
-            for g, s in [(-1, 0), *enumerate(seeds)]
-        ]
-    )
-    i, s, g = F.col(spec.id), F.col("__v.s"), F.col("__v.g")
-    rows = val.withColumn("__v", F.explode(variants)).withColumn(
-        "__block", F.pmod(F.xxhash64(i, s, F.lit("block")), F.lit(_blocks(spec)))
-    )
-    place = W.partitionBy("__v", "__block")
+    seeds = [zlib.crc32(f"{seed}/{fold}/{n}".encode()) for n in names]
     moved_cols = sorted({c for cols in groups.values() for c in cols})
-    drawn = F.when(g < 0, i).otherwise(F.xxhash64(i, s))
-    source = rows.select(
-        "__v",
-        "__block",
-        F.row_number().over(place.orderBy(drawn, i)).alias("__pos"),
-        F.struct(*moved_cols).alias("__src"),
-    )
-    target = rows.withColumn("__pos", F.row_number().over(place.orderBy(i)))
-    both = target.join(source, ["__v", "__block", "__pos"])
+    g = F.col("__g")
+    source = val.select(F.col(spec.id).alias("__from"), F.struct(*moved_cols).alias("__src"))
+    drawn = _partners(val, spec, seeds).join(source, "__from").drop("__from")
+    unchanged = val.select(spec.id, F.lit(-1).alias("__g"), F.struct(*moved_cols).alias("__src"))
+    both = val.join(drawn.unionByName(unchanged), spec.id)
     changed = {}
     for c in moved_cols:
         mine = [k for k, n in enumerate(names) if c in groups[n]]
         changed[c] = F.when(g.isin(*mine), F.col("__src")[c]).otherwise(F.col(c))
-    shuffled = both.withColumns(changed).withColumn("__g", g)
-    shuffled = shuffled.select(*val.columns, "__g")
+    shuffled = both.withColumns(changed).select(*val.columns, "__g")
     err = F.col(pred) - F.col(spec.target)
     scored = predict(shuffled).groupBy("__g").agg(rmse(err).alias("r"), F.count(err).alias("n"))
     result = {row["__g"]: row for row in scored.collect()}  # one row per group
@@ -938,12 +927,13 @@ def peer_features(
 def proxy_feature(
     df: DataFrame, x: Sequence[str], spec: PanelSpec, min_rows: int = 100, family: str = "gbt", **params
 ) -> DataFrame:
-    """Wind production estimated from weather, and what follows from it; unchanged with fewer
-    than ``min_rows`` rows to fit on."""
+    """Wind production estimated from weather, and what follows from it; NULL with fewer than
+    ``min_rows`` rows to fit on."""
     known = df.filter(F.col("wind_forecast").isNotNull())
-    if len(known.select(spec.id).limit(min_rows).collect()) < min_rows:
-        return df
-    out = fit_global(known, x, "wind_forecast", family, spec, **params).predict(df, "wind_prod_est")
+    if known.limit(min_rows).count() < min_rows:
+        out = df.withColumn("wind_prod_est", F.lit(None).cast("double"))
+    else:
+        out = fit_global(known, x, "wind_forecast", family, spec, **params).predict(df, "wind_prod_est")
     est, load = F.col("wind_prod_est"), F.col("load_forecast")
     rest = load - F.col("solar_forecast") - est
     return out.withColumns(

@@ -463,7 +463,8 @@ def storm(
 ) -> DataFrame:
     """log(1 + CAPE) where convection is likely, and a flag above its training q90.
 
-    Likely means CIN at or under its entity's training q20, else lifted index <= -2.
+    Likely means CIN at or under its entity's training q20, else lifted index <= -2. Rows whose
+    table lacks the column are at no risk; without a threshold the flag is NULL.
     """
     e = spec.entity
     if not has(df, cape):
@@ -472,19 +473,22 @@ def storm(
     energy = F.log1p(positive(cape))
 
     def risk(frame: DataFrame) -> DataFrame:
-        if has(train, cin):
+        if has(train, cin) and not has(frame, cin):
+            on = F.lit(0)
+        elif has(train, cin):
             limit = quantiles(train, [e], {"__cin": (cin, 0.2)}, spec)
             overall = row_scalars(quantiles(train, [], {"g": (cin, 0.2)}, spec))["g"]
             frame = join_table(frame, limit, [e], spec)
             on = flag(F.col(cin) <= F.coalesce("__cin", overall))
-        elif has(train, lifted):
+        elif has(train, lifted) and has(frame, lifted):
             on = flag(F.col(lifted) <= -2.0)
         else:
             on = F.lit(0)
         return frame.withColumn("storm_risk", energy * on).drop("__cin")
 
     high = row_scalars(quantiles(risk(train), [], {"q": ("storm_risk", 0.9)}, spec))["q"]
-    return risk(df).withColumn("storm_flag", flag(F.col("storm_risk") > high))
+    above = F.when(high.isNotNull(), flag(F.col("storm_risk") > high))
+    return risk(df).withColumn("storm_flag", above)
 
 
 # --- imputation and coverage ---------------------------------------------------------------

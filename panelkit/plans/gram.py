@@ -17,8 +17,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Features are held within +-LIMIT in linear fits.
 LIMIT = 1e7
-# Up to this many columns all products are ordinary sums in one aggregate.
-NARROW = 24
+# Up to this many columns all products are ordinary sums in one aggregate; longer lists of sums
+# compile badly and take longer than matrix products.
+NARROW = 9
 # Partial sums a task holds before it passes them on.
 HELD_VALUES = 4_000_000
 
@@ -113,7 +114,7 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     sum xx, sum yy, sum xy, taken around the column means.
 
     One pass of matrix products over Arrow batches; a task keeps six k x k matrices whatever
-    the number of rows it reads, and only k x k sums reach the driver.
+    the number of rows it reads, and sends as many sums; only k x k sums reach the driver.
     """
     k = len(cols)
     centre = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
@@ -132,9 +133,7 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
         yield pd.DataFrame({"p": np.arange(flat.size), "v": flat})
 
     flat = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    # Fewer, longer tasks: a task streams through its rows and sends one set of sums.
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    sums = flat.coalesce(tasks).mapInPandas(partial, "p int, v double")
+    sums = flat.mapInPandas(partial, "p int, v double")
     rows = sums.groupBy("p").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(4 * k * k)
     out[rows["p"].to_numpy()] = rows["v"].to_numpy()

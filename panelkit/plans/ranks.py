@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from panelkit.functions.contract import col
 from panelkit.plans.layout import PanelSpec, attach
+from panelkit.sources.io import materialize
 
 PER_OCTAVE = 256
 FINE = 16_384
@@ -209,3 +210,22 @@ def rank_pct(
         )
         df = attach(df, pct, [*keys, c])
     return df
+
+
+def positions(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Add each row's place (from 0) in a total order, whatever the number of rows.
+
+    Rows are dealt out by range and counted per range; the counts of the ranges before give each
+    range its offset, so no task orders more than its range."""
+    dealt = materialize(
+        df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    )
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row per range
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return (
+        dealt.join(F.broadcast(offsets), "__range")
+        .withColumn(out, F.col("__off") + inside - 1)
+        .drop("__range", "__off")
+    )

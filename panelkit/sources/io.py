@@ -15,11 +15,15 @@ TIMES = ("timestamp_ntz", "timestamp")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the session's ``spark.checkpoint.dir``. Where that is
-    unset (a single-machine session) a new temporary folder is set for it."""
+    """Folder all executors can reach: the session's ``spark.checkpoint.dir``. Where that is unset
+    a new temporary folder is set for it, if the session runs on one machine; elsewhere executors
+    would write to disks of their own, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="panelkit-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():

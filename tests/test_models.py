@@ -1,5 +1,7 @@
 """Model fits against brute force in numpy."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -157,3 +159,34 @@ def test_stack_weights(data):
     df = df.withColumns({"m1": F.col("target") + 1.0, "m2": F.lit(0.0) - F.col("target")})
     rows = {r["model"]: r["weight"] for r in M.nonneg_stack(df, ["m1", "m2"], 0.1).collect()}
     assert rows["m1"] == pytest.approx(1.0) and rows["m2"] == 0.0
+
+
+def test_importance_does_not_depend_on_sizes(spark):
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, float(i % 97)) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity string, ts timestamp_ntz, id bigint, target double")
+    df = df.withColumn("x", F.col("target"))
+
+    def predict(d):
+        return d.withColumn("pred", F.col("x"))
+
+    specs = [PanelSpec(), PanelSpec(chunk_rows=40).measured(df), PanelSpec().measured(df)]
+    deltas = {
+        round(M.permutation_importance(df, predict, {"x": ["x"]}, s).first()["delta"], 9) for s in specs
+    }
+    assert len(deltas) == 1 and deltas.pop() > 30
+
+
+def test_ridge_takes_nan_and_infinity_as_missing(spark):
+    odd = [float("nan"), float("inf"), None]
+    for value in odd:
+        rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, 2.0 * i, float(i) if i != 7 else value) for i in range(40)]
+        df = spark.createDataFrame(rows, "entity string, ts timestamp_ntz, id bigint, target double, x double")
+        spec = PanelSpec().measured(df)
+        got = M.grouped_ridge(df, ["entity"], ["x"], "target", spec, alpha=0.1).first()
+        assert abs(got["coefs"][0] - 2.0) < 0.1 and abs(got["fills"][0] - 20.0) < 1.0
+
+
+def test_proxy_feature_keeps_its_columns_with_few_rows(spark):
+    df = spark.createDataFrame([(1, 5.0, 9.0, 1.0, 3.0)], "id bigint, wind_forecast double, load_forecast double, solar_forecast double, w double")
+    out = M.proxy_feature(df, ["w"], PanelSpec())
+    assert {"wind_prod_est", "residual_load_est"} <= set(out.columns) and out.first()["wind_prod_est"] is None
