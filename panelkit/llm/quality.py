@@ -2,45 +2,43 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import WORDS, slices
 from panelkit.sources.io import materialize
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 WIDTH = 1 << BITS
 #: Symbols worked on at a time.
 CHUNK = 2_000_000
+#: Grams that make up at least this share of all symbols go to every worker: at most 1 / SHARE.
+SHARE = 2.0**-21
 MARKS = "#*$%&|<>"
 
 
 def symbol_table() -> np.ndarray:
-    """One of 64 symbols for each code point: 0 white space, 1-26 letters of either case, 27 digits,
-    then kinds of marks, and 28 classes that all other code points share by their remainder."""
-    table = (36 + np.arange(0x110000) % 28).astype("u1")
-    table[:128] = 35
-    kinds = [".", ",", ";:!?", "'\"`", "-_/\\", "()[]{}", MARKS]
+    """The 16-bit symbol of each code point: 0 for white space, one for all digits, else the code
+    point of the lower-case letter. Code points over 65,535 share the 6,400 private ones."""
+    table = np.arange(0x110000)
+    table[0] = 1
     for cp in range(0x110000):
         c = chr(cp)
         low = c.lower()
         if c.isspace():
             table[cp] = 0
-        elif len(low) == 1 and "a" <= low <= "z":
-            table[cp] = 1 + ord(low) - ord("a")
         elif c.isdigit():
-            table[cp] = 27
+            table[cp] = ord("0")
         elif low != c and len(low) == 1:
-            table[cp] = 36 + ord(low) % 28
-    for i, kind in enumerate(kinds):
-        for c in kind:
-            table[ord(c)] = 28 + i
-    return table
+            table[cp] = ord(low)
+    return np.where(table < WIDTH, table, 0xE000 + table % 6400).astype("u2")
 
 
 class Grams:
@@ -65,28 +63,28 @@ class Grams:
         begin = np.zeros(len(s), bool)  # white space at the start of a text is no symbol
         begin[np.concatenate([[0], ends[:-1]])] = True
         keep &= ~(begin & gap)
-        s, owner = s[keep].astype("u4"), owner[keep]
-        p = np.zeros((3, len(s)), "u4")
+        s, owner = s[keep].astype("u8"), owner[keep]
+        p = np.zeros((3, len(s)), "u8")
         for k in range(1, 4):
             same = owner[k:] == owner[:-k]
             p[k - 1, k:] = np.where(same, s[:-k], 0)
-        grams = (p[2] << 18) | (p[1] << 12) | (p[0] << 6) | s
+        grams = (p[2] << 3 * BITS) | (p[1] << 2 * BITS) | (p[0] << BITS) | s
         return grams, np.bincount(owner, minlength=len(texts))
 
 
 def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each gram occurs in all whole texts: (gram, n), at most 64 ** 4 rows. Tasks count
-    what they read and shuffle a row per gram and chunk."""
+    """How often each gram occurs in all whole texts: (gram, n), as many rows as the corpus has
+    different grams. Tasks count what they read and shuffle a row per gram and task."""
 
     def count(batches):
         grams = Grams()
         for b in batches:
             for some in (x for part in slices(b["text"], 512) for x in _chunks(part.to_pylist())):
                 g, n = np.unique(grams(some)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.astype("i4")), pa.array(n)], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view("i8")), pa.array(n)], ["gram", "n"])
 
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null and text <> ''")
-    return texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
@@ -101,84 +99,96 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield some
 
 
+def _discounts(level: DataFrame) -> list[float]:
+    """What is taken off counts of 1, 2 and 3 or more."""
+    got = level.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first()
+    n = [0, *got]
+    if not all(n[1:]):  # too few grams to estimate from
+        return [0.5, 0.75, 0.9]
+    y = n[1] / (n[1] + 2 * n[2])
+    d = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+    return [min(max(x, 0.1), most) for x, most in zip(d, (0.95, 1.9, 2.9))]
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """Interpolated modified Kneser-Ney model of four-symbol grams: (gram, n, bits).
+
+    Shorter grams count their different left extensions, and their table is the basis of the
+    longer ones'. No key of a join has more than 2 ** 16 rows (a gram less a symbol), and only
+    tables keyed by at most one symbol are broadcast."""
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        ending = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")
+        levels[k] = materialize(levels[k + 1].groupBy(ending).agg(F.count("*").alias("n")))
+    lower = None
+    for k in range(1, ORDER + 1):
+        d1, d2, d3 = _discounts(levels[k])
+        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        context = F.shiftrightunsigned("gram", BITS) if k > 1 else F.lit(0)
+        rows = levels[k].withColumn("off", off).withColumn("context", context)
+        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("spared"))
+        rows = rows.join(F.broadcast(totals) if k <= 2 else totals, "context")
+        if k == 1:  # below it every symbol is alike
+            rows = rows.withColumn("p_short", F.lit(1.0 / WIDTH))
+        else:
+            rows = rows.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
+            rows = rows.join(F.broadcast(lower) if k == 2 else lower, "short")
+        p = (F.col("n") - F.col("off") + F.col("spared") * F.col("p_short")) / F.col("total")
+        model = rows.select("gram", "n", p.alias("p"))
+        lower = model.select(F.col("gram").alias("short"), F.col("p").alias("p_short"))
+    return model.select("gram", "n", (-F.log2("p")).alias("bits"))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Interpolated modified Kneser-Ney model. Four-symbol grams lie in sorted arrays (at most
-    64 ** 4 entries, 128 MB; texts of some languages have a few hundred thousand), the shorter
-    ones, and the weight of the shorter gram after a context, in tables of 64 ** 3."""
+    """``table`` holds (gram, n, bits) of every gram of the corpus. ``grams`` (sorted) and ``bits``
+    repeat the frequent ones, at most 1 / SHARE, for the workers; ``cut`` is their least count."""
 
+    table: DataFrame
     grams: np.ndarray
     bits: np.ndarray
-    backoff: np.ndarray
-    bits3: np.ndarray
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 1, 2 and 3 or more."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6).astype("f8")
-    if not n[1:5].all():  # too few grams to estimate from
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [0.0] + [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
-    return np.clip(d, [0.0, 0.1, 0.1, 0.1], [0.0, 0.95, 1.9, 2.9])
-
-
-def _level(grams: np.ndarray, counts: np.ndarray, contexts: int, shorter: np.ndarray):
-    """Probabilities of the given grams, and for each context the weight of the shorter gram."""
-    d = _discounts(counts)[np.minimum(counts, 3)]
-    context = grams >> BITS
-    total = np.bincount(context, counts, contexts)
-    spared = np.bincount(context, d, contexts)
-    backoff = np.divide(spared, total, out=np.ones(contexts), where=total > 0)
-    mine = (counts - d) / total[context] + backoff[context] * shorter
-    return mine, backoff
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """The model from the counts of four-symbol grams; shorter grams count their left extensions."""
-    by = [None, None, None, None, (grams, counts)]
-    g = grams
-    for k in (3, 2, 1):
-        g, n = np.unique(g & ((1 << (BITS * k)) - 1), return_counts=True)
-        by[k] = (g, n)
-    dense = np.full(1, 1.0 / WIDTH)  # of order 0: every symbol alike
-    for k in (1, 2, 3):
-        g, n = by[k]
-        contexts = WIDTH ** (k - 1)
-        everything = np.arange(WIDTH**k)
-        below = dense[everything & (WIDTH ** (k - 1) - 1)] if k > 1 else np.full(WIDTH, dense[0])
-        mine, backoff = _level(g, n, contexts, below[g])
-        table = backoff[everything >> BITS] * below
-        table[g] = mine
-        dense = table
-    mine, backoff = _level(grams, counts, WIDTH**3, dense[grams & (WIDTH**3 - 1)])
-    return Model(grams.astype("u4"), -np.log2(mine).astype("f4"), -np.log2(np.maximum(backoff, 1e-12)).astype("f4"), -np.log2(dense).astype("f4"))
+    cut: int
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count the grams of the whole corpus with Spark, and build the model from the counts."""
-    table = count_grams(docs, text_col).toArrow()
-    g, n = table["gram"].to_numpy().astype("i8"), table["n"].to_numpy()
-    order = np.argsort(g)
-    return kneser_ney(g[order], n[order])
+    """Count the grams of the whole corpus and build the model from the counts, all in Spark; only
+    the frequent grams come to the driver."""
+    counts = materialize(count_grams(docs, text_col))
+    table = materialize(kneser_ney(counts))
+    cut = max(1, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) * SHARE))
+    often = table.filter(F.col("n") >= cut).select("gram", "bits").toArrow()
+    grams = often["gram"].to_numpy().view("u8")
+    order = np.argsort(grams)
+    return Model(table, grams[order], often["bits"].to_numpy()[order].astype("f4"), cut)
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.grams = model, Grams()
+    def __init__(self, often: tuple[np.ndarray, np.ndarray]):
+        (self.often, self.bits), self.grams = often, Grams()
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text under the model, and its number of symbols."""
-        m = self.model
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Of each text: bits of its frequent grams, number of symbols, and its other grams with
+        their counts."""
         grams, sizes = self.grams(texts)
-        if not len(grams) or not len(m.grams):
-            return np.zeros(len(texts)), sizes
-        at = np.minimum(np.searchsorted(m.grams, grams), len(m.grams) - 1)
-        bits = np.where(
-            m.grams[at] == grams, m.bits[at], m.backoff[grams >> BITS] + m.bits3[grams & (WIDTH**3 - 1)]
-        )
         owner = np.repeat(np.arange(len(texts)), sizes)
-        return np.bincount(owner, bits, len(texts)), sizes
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, grams), len(self.often) - 1)
+            known = self.often[at] == grams
+            bits = np.bincount(owner[known], self.bits[at[known]], len(texts))
+        else:
+            known, bits = np.zeros(len(grams), bool), np.zeros(len(texts))
+        grams, owner = grams[~known], owner[~known]
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(grams)))
+        ends = np.append(0, np.cumsum(np.bincount(owner[first], minlength=len(texts))))
+        rare = pa.StructArray.from_arrays(
+            [pa.array(grams[first].view("i8")), pa.array(n, pa.int64())], ["gram", "n"]
+        )
+        return bits, sizes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
 
 
 def repeated_words(words: list[str], window: int = 3) -> int:
@@ -213,35 +223,49 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 RULES = (
     "key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, bits double, n_grams long"
+    "n_repeat_words long, often_bits double, n_grams long, row long"
 )
+RARE = "rare array<struct<gram: long, n: long>>"
 #: Resolution of the perplexity (bits per symbol) when bands are set.
 STEP = 0.001
 
 
 def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The base counts, the bits under the model and the number of symbols of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The base counts, the bits under the model and the number of symbols of every whole text.
+
+    Frequent grams are looked up where the text is read. The others, a small share of any corpus,
+    are joined with the model, so nothing is left out and no worker holds a model that grows. A
+    gram in that join has at most a share of SHARE of all symbols."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.grams, model.bits))
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer, row = Scorer(shared.value), TaskContext.get().partitionId() << 36
         for b in (part for whole in batches for part in slices(whole, 512)):
             at = 0
             for some in _chunks(b["text"].to_pylist()):
-                bits, sizes = scorer(some)
+                bits, sizes, rare = scorer(some)
                 base = list(zip(*map(base_counts, some)))
                 part = b.slice(at, len(some))
                 at += len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [part["key"], part["lang"], *(pa.array(c, pa.int64()) for c in base), pa.array(bits, pa.float64()), pa.array(sizes, pa.int64())],
-                    [f.split()[0] for f in RULES.split(", ")],
+                    [
+                        part["key"], part["lang"], *(pa.array(c, pa.int64()) for c in base), pa.array(bits, pa.float64()),
+                        pa.array(sizes, pa.int64()), pa.array(np.arange(row, row + len(some))), rare,
+                    ],
+                    [*(f.split()[0] for f in RULES.split(", ")), "rare"],
                 )
+                row += len(some)
 
     narrow = docs.select(
         F.col(id_col).cast("long").alias("key"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
     )
-    return narrow.mapInArrow(run, RULES)
+    rows = materialize(narrow.mapInArrow(run, f"{RULES}, {RARE}"))  # written once: row numbers stay
+    rare = rows.select("row", F.inline("rare"))
+    found = rare.join(model.table.filter(F.col("n") < model.cut).select("gram", "bits"), "gram")
+    more = found.groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("rare_bits"))
+    bits = F.col("often_bits") + F.coalesce("rare_bits", F.lit(0.0))
+    return rows.drop("rare").join(more, "row", "left").withColumn("bits", bits).drop("row", "often_bits", "rare_bits")
 
 
 def quality(

@@ -206,17 +206,44 @@ def test_base_counts():
         assert quality.base_counts(t) == brute_base(t)
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    grams = np.unique(rng.integers(0, 64**4, 5000) & 0x0F0F0F)
-    m = quality.kneser_ney(grams.astype("i8"), rng.zipf(1.8, len(grams)).clip(max=50).astype("i8"))
-    assert np.allclose((2.0 ** -m.bits3.astype("f8")).reshape(-1, 64).sum(1), 1, atol=1e-4)
-    context = int(grams[0]) >> 6
-    p = 2.0 ** -(m.backoff[context] + m.bits3[((context & 4095) << 6) + np.arange(64)].astype("f8"))
-    for g, b in zip(m.grams, m.bits):
-        if g >> 6 == context:
-            p[g & 63] = 2.0**-b
-    assert abs(p.sum() - 1) < 1e-4
+def brute_bits(texts):
+    """Bits per text and number of symbols under the interpolated model, from nested dictionaries."""
+    table = quality.symbol_table()
+    seqs = []
+    for t in texts:
+        s = [int(table[ord(c)]) for c in t.strip() + " "] if t.strip() else []
+        seqs.append([x for i, x in enumerate(s) if x or (i and s[i - 1])])
+    grams = [[tuple(([0, 0, 0] + s)[i : i + 4]) for i in range(len(s))] for s in seqs]
+    by = {4: Counter(g for some in grams for g in some)}
+    for k in (3, 2, 1):
+        by[k] = Counter(g[1:] for g in by[k + 1])
+    p = {(): 1 / 65536}
+    for k in (1, 2, 3, 4):
+        n = [sum(c == i for c in by[k].values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [0.5, 0.75, 0.9]
+        if all(n[1:]):
+            d = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1), m) for i, m in zip((1, 2, 3), (0.95, 1.9, 2.9))]
+        total, spared = Counter(), Counter()
+        for g, c in by[k].items():
+            total[g[:-1]] += c
+            spared[g[:-1]] += d[min(c, 3) - 1]
+        for g, c in by[k].items():
+            p[g] = (c - d[min(c, 3) - 1] + spared[g[:-1]] * p[g[1:]]) / total[g[:-1]]
+    return [(-sum(np.log2(p[g]) for g in some), len(some)) for some in grams]
+
+
+@pytest.mark.parametrize("share", [2.0**-21, 0.002, 1.0])
+def test_bits_match_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(quality, "SHARE", share)
+    docs = odd(spark)
+    model = quality.fit(docs)
+    assert len(model.grams) <= 1 / share
+    got = quality.measure(docs, model).collect()
+    want = brute_bits([r[1] or "" for r in odd_rows()])
+    assert len(got) == len(want)
+    for (bits, n), (b, k) in zip(sorted((r.bits, r.n_grams) for r in got), sorted(want)):
+        assert n == k and abs(bits - b) <= 1e-5 * max(b, 1)
 
 
 def test_gram_counts_match_brute_force(spark):
@@ -229,8 +256,8 @@ def test_gram_counts_match_brute_force(spark):
         s = [x for i, x in enumerate(s) if x or (i and s[i - 1])]
         for i in range(len(s)):
             a, b, c = (s[i - k] if i >= k else 0 for k in (3, 2, 1))
-            want[a << 18 | b << 12 | c << 6 | s[i]] += 1
-    got = {r.gram: r.n for r in quality.count_grams(odd(spark)).collect()}
+            want[a << 48 | b << 32 | c << 16 | s[i]] += 1
+    got = {r.gram % 2**64: r.n for r in quality.count_grams(odd(spark)).collect()}
     assert got == dict(want)
 
 
