@@ -307,42 +307,39 @@ def _topk(s, d):
     out = None
     for mode, method in (("largest", "median_non_topk"), ("smallest", "mean_all"), ("abs", "mean_non_topk")):
         part = I.replace_topk(df.select("id", F.col("p2").alias("target")), 40, mode, method, spec)
-        part = part.filter("replaced = 1").withColumn("mode", F.lit(mode))
+        part = part.withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _topk_sql(mode: str, order: str, value: str) -> str:
-    return f"""SELECT '{mode}' AS mode, id, (SELECT {value} FROM pe
-        WHERE id NOT IN (SELECT id FROM {mode}_k)) AS target FROM {mode}_k"""
+def _topk_sql(mode: str, value: str) -> str:
+    return f"""SELECT '{mode}' AS mode, id, (id IN (SELECT id FROM {mode}_k))::INT AS replaced,
+        CASE WHEN id IN (SELECT id FROM {mode}_k) THEN (SELECT {value}) ELSE p2 END AS target FROM pe"""
 
 
 register(
     "I13_replace_topk",
-    shape("mode id", "", "target"),
+    shape("mode id", "replaced", "target"),
     _topk,
     f"""WITH {PREDS}, largest_k AS (SELECT id FROM pe ORDER BY p2 DESC, id LIMIT 40),
       smallest_k AS (SELECT id FROM pe ORDER BY p2, id LIMIT 40),
       abs_k AS (SELECT id FROM pe ORDER BY abs(p2) DESC, id LIMIT 40)
-      {_topk_sql("largest", "", "median(p2)")} UNION ALL
-      SELECT 'smallest', id, (SELECT avg(p2) FROM pe) FROM smallest_k UNION ALL
-      {_topk_sql("abs", "", "avg(p2)")}""",
+      {_topk_sql("largest", "median(p2) FROM pe WHERE id NOT IN (SELECT id FROM largest_k)")} UNION ALL
+      {_topk_sql("smallest", "avg(p2) FROM pe")} UNION ALL
+      {_topk_sql("abs", "avg(p2) FROM pe WHERE id NOT IN (SELECT id FROM abs_k)")}""",
 )
 
 
 def _bump(s, d):
     df, spec = preds(s, d)
-    df = df.filter("NOT (entity = 'view' AND hour < 6 AND day > 1)").withColumn(
-        "missing", F.col("w1").isNull()
-    )
-    return I.missing_bump(df, "missing", 2.0, spec, "p1")
+    return I.missing_bump(df.withColumn("missing", F.col("w1").isNull()), "missing", 2.0, spec, "p1")
 
 
 register(
     "I14_missing_bump",
     shape("id", "", "std_used p1"),
     _bump,
-    f"""WITH {PREDS}, x AS (SELECT * FROM pe WHERE NOT (entity = 'view' AND hour < 6 AND day(ts) > 1)),
+    f"""WITH {PREDS}, x AS (SELECT * FROM pe),
       a AS (SELECT entity, hour, dow, stddev_samp(p1) AS a FROM x GROUP BY ALL),
       b AS (SELECT entity, hour, stddev_samp(p1) AS b FROM x GROUP BY ALL),
       c AS (SELECT entity, stddev_samp(p1) AS c FROM x GROUP BY ALL),

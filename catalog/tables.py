@@ -198,17 +198,18 @@ def _tag_split(s, d):
     df, spec = hourly(s, d)
     cut = wall_clock("2024-01-21")
     both = B.tag_split(df.filter(F.col("ts") < cut), df.filter(F.col("ts") >= cut).drop("target"))
-    return B.untag(lags(both, spec, ["load_forecast"], [24]))[1]
+    train, test = B.untag(lags(both, spec, ["load_forecast"], [24]))
+    return train.withColumn("train", F.lit(1)).unionByName(test.withColumn("train", F.lit(0)))
 
 
 register(
     "B6_tag_split",
-    shape("entity ts", "", "load_forecast load_forecast_lag_24 target"),
+    shape("entity ts", "train", "load_forecast load_forecast_lag_24 target"),
     _tag_split,
     f"""WITH {HOURLY_CAL}, l AS (SELECT *, lag(load_forecast, 24) OVER (PARTITION BY entity ORDER BY ts, id)
         AS load_forecast_lag_24 FROM cal)
-      SELECT entity, ts, load_forecast, load_forecast_lag_24, NULL AS target FROM l
-      WHERE ts >= TIMESTAMP '2024-01-21'""",
+      SELECT entity, ts, (ts < TIMESTAMP '2024-01-21')::INT AS train, load_forecast, load_forecast_lag_24,
+        CASE WHEN ts < TIMESTAMP '2024-01-21' THEN target END AS target FROM l""",
 )
 
 
