@@ -10,9 +10,11 @@ from panelkit.llm import jaccard, langid, mixing, packing, toxicity
 from panelkit.sources.io import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Phrases per symbol from which on a text is in none of the learnt languages. Labelled languages
+#: Breaks per symbol from which on a text is in none of the learnt languages. Labelled languages
 #: need about 0.17 of their own; strings of random letters more than 0.5.
 FOREIGN = 0.5
+#: The rate of n symbols counts sqrt(n / (n + EVIDENCE)) times, so none of under 8 symbols reaches FOREIGN.
+EVIDENCE = 24
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -30,10 +32,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null text, no letter, or further from every learnt
-    language than any language is from itself."""
+    language than any language is from itself. A short text shows little of that and so is kept."""
     model = langid.fit(docs, folds=None)
     found = docs.withColumn("_lang", langid.predict(spark, model))
-    kept = (F.col("_lang.lang_pred") != langid.UNDETERMINED) & (F.col("_lang.rate") < FOREIGN)
+    trust = F.sqrt(F.col("_lang.symbols") / (F.col("_lang.symbols") + EVIDENCE))
+    kept = (F.col("_lang.lang_pred") != langid.UNDETERMINED) & (F.col("_lang.rate") * trust < FOREIGN)
     return _as_documents(found.filter(kept), docs)
 
 

@@ -202,40 +202,46 @@ class Parser:
             np.add.at(out, owner[span], ended + (state != self.roots))  # open ones end here
         return out, lengths
 
-    def best(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
-        """(language, score, phrases per symbol) of each text."""
+    def best(self, texts: list[str | None]) -> list[tuple[str, float, float | None, int | None]]:
+        """(language, score, breaks per symbol, symbols) of each text. A break is a phrase beyond the
+        one that every window ends with, so a text that matches throughout has none."""
         names = self.model.languages
         if not names:
-            return [(UNDETERMINED, 0.0, None)] * len(texts)
+            return [(UNDETERMINED, 0.0, None, None)] * len(texts)
         out = []
         for text, counts, n in zip(texts, *self.phrases(texts)):
             if not any(map(str.isalpha, text or "")):
-                out.append((UNDETERMINED, 0.0, None))
+                out.append((UNDETERMINED, 0.0, None, None))
                 continue
             i = int(counts.argmin())
             mine, rest = int(counts[i]), int(counts.sum() - counts[i])
             share = rest / (rest + (len(names) - 1) * mine) if len(names) > 1 else 1.0
-            out.append((names[i], share, mine / int(n)))
+            breaks = max(0, mine + int(-n // self.model.settings.window))
+            out.append((names[i], share, breaks / int(n), int(n)))
         return out
 
 
 def predict(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
-    """Column of (lang_pred, score, rate): the language with fewest phrases per symbol, its share of
-    the match (phrases of the others against its own, 0 to 1) and its phrases per symbol.
+    """Column of (lang_pred, score, rate, symbols): the language with fewest phrases per symbol, its
+    share of the match (phrases of the others against its own, 0 to 1), its breaks per symbol (phrases
+    beyond one per window) and the number of symbols.
 
     ``und`` with score 0 if the text is null or has no letter, or no language was learnt. Equal
     counts go to the first language by name. Whole texts are parsed."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double, rate double")
+    @F.arrow_udf("lang_pred string, score double, rate double, symbols long")
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = Parser(shared.value)
         for texts in batches:
             found = [r for some in slices(texts, 512) for r in parser.best(some.to_pylist())]
-            langs, scores, rates = zip(*found) if found else ((), (), ())
+            langs, scores, rates, sizes = zip(*found) if found else ((), (), (), ())
             yield pa.StructArray.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                ["lang_pred", "score", "rate"],
+                [
+                    pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()),
+                    pa.array(sizes, pa.int64()),
+                ],
+                ["lang_pred", "score", "rate", "symbols"],
             )
 
     return parsed(F.col(text_col))

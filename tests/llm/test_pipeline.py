@@ -44,3 +44,12 @@ def test_same_rows_again(spark, sf):
     b = P.run(spark, sf).collect()
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in a) == sorted((r.doc_id, r.start, r.ids_crc32) for r in b)
     assert sorted(map(key, a)) == sorted(map(key, b))
+
+
+def test_short_texts_keep_their_language(spark, sf):
+    some = ["A.", "ok", "a", "of", "am", "the", "Der", "I am", "et la"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    strange = [(-100, "7", None), (-101, "qxzj vwkq " * 40, None)]
+    more = spark.createDataFrame([(-i, t, None) for i, t in enumerate(some, 1)] + strange, docs.schema)
+    kept = {r.doc_id for r in P.reject_language(spark, docs.unionByName(more), sf).collect()}
+    assert set(range(-len(some), 0)) <= kept and not {-100, -101} & kept
