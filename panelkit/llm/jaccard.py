@@ -197,8 +197,8 @@ def _add_up(counts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(key, sig1, sig2, n) of every document, and the sets (key, sig1, sig2, n; the smallest id of
-    each set) that share enough shingles with other sets to link with one at all."""
+    """(key, sig1, sig2, n) of every document, and the sets (key, sig1, sig2, n, docs; the smallest id
+    and the number of documents of each set) that share enough shingles with other sets to link with one at all."""
     narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     deals = 4 * parts(docs.sparkSession)
     counted = materialize(_shared_counts(_dealt(narrow, s, deals)))
@@ -207,7 +207,7 @@ def classes(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> tuple[D
     least = F.ceil(F.col("n") * s.percent / 100)
     able = (
         rows.join(enough, ["batch", "place"]).filter((F.col("n") > 0) & (F.col("shared") >= least))
-        .groupBy("sig1", "sig2").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+        .groupBy("sig1", "sig2").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.count("*").alias("docs"))
     )
     return rows.select("key", "sig1", "sig2", "n"), materialize(able)
 
@@ -236,41 +236,56 @@ def _candidates(sets: DataFrame, s: Settings) -> DataFrame:
     return components(to_head.unionByName(across).filter("a <> b"))
 
 
-def _block_links(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect every linked pair of a block, through other links where they do so already.
+def _tile_links(
+    keys: np.ndarray, docs: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect every linked pair of a tile, through other links where they do so already,
+    and of each set the documents (``docs`` of each set) of all sets it links with in this tile.
 
-    Rows of the product (sets by sets) are made one at a time: the overlaps of one set with all
-    sets not reached yet add up from the columns of its shingles, and overlaps below the bound that
-    the two sizes set are dropped. Sets reached are taken out and wait for their own row."""
-    flat = np.concatenate(sets)
-    _, column = np.unique(flat, return_inverse=True)
+    A tile of two blocks (``side`` tells them apart) holds the pairs of one block with the other, a
+    tile of one block its own, so that every pair is in one tile. Shingles that many sets hold are
+    multiplied as a dense matrix; for the others the overlaps of one set with all sets add up from
+    the columns of its shingles. Overlaps below the bound that the two sizes set are dropped."""
+    m = len(sets)
+    left = np.flatnonzero(side == side.min())
+    right = np.flatnonzero(side == side.max())
+    alike = len(left) == m
     sizes = np.array([len(x) for x in sets], "i8")
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    by_column = np.argsort(column, kind="stable")
-    begin = np.searchsorted(column[by_column], np.arange(column.max() + 2))
-    holders = owner[by_column]
-    todo = np.ones(len(sets), bool)
+    owner = np.repeat(np.arange(m), sizes)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    full = np.bincount(column) > max(8, m // 8)
+    dense = np.zeros((m, int(full.sum())), "f4")  # at most 8 times as large as the entries
+    often = full[column]
+    dense[owner[often], (np.cumsum(full) - 1)[column[often]]] = 1
+    # Entries of the other shingles, by row of the left sets and by column of the right ones.
+    owner, column = owner[~often], column[~often]
+    start = np.searchsorted(owner, np.arange(m + 1))
+    here = np.full(m, -1)
+    here[right] = np.arange(len(right))
+    held = here[owner] >= 0
+    order = np.argsort(column[held], kind="stable")
+    begin = np.searchsorted(column[held][order], np.arange(len(full) + 1))
+    holders = here[owner[held][order]]
+    degree = np.zeros(m, "i8")
+    label = np.arange(m)
     links = []
-    for first in range(len(sets)):
-        if not todo[first]:
-            continue
-        todo[first] = False
-        queue = [first]
-        while queue:
-            i = queue.pop()
-            if not todo.any():
-                return links
+    for low in range(0, len(left), 256):
+        rows = left[low : low + 256]
+        product = (dense[rows] @ dense[right].T).astype("i8")
+        for i, shared in zip(rows.tolist(), product):
             mine = column[start[i] : start[i + 1]]
-            at = _spans(begin[mine], begin[mine + 1])
-            who = holders[at]
-            shared = np.bincount(who[todo[who]], minlength=len(sets))
-            near = np.flatnonzero(todo & (100 * shared >= percent * (sizes + sizes[i] - shared)))
-            for j in near.tolist():
-                links.append((int(keys[i]), int(keys[j])))
-            todo[near] = False
-            queue += near.tolist()
-    return links
+            shared += np.bincount(holders[_spans(begin[mine], begin[mine + 1])], minlength=len(right))
+            near = right[100 * shared >= percent * (sizes[right] + sizes[i] - shared)]
+            near = near[near != i]
+            degree[i] += docs[near].sum()
+            if not alike:
+                degree[near] += docs[i]
+            names, first = np.unique(label[near], return_index=True)
+            new = names != label[i]
+            if new.any():
+                links += [(int(keys[i]), int(keys[j])) for j in near[first[new]]]
+                label[np.isin(label, names[new])] = label[i]
+    return links, degree
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -283,8 +298,8 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def links(
     docs: DataFrame, able: DataFrame, s: Settings, id_col: str, text_col: str
 ) -> tuple[DataFrame, DataFrame]:
-    """The sets that were compared (key, sig1, sig2) and links (a, b) between them, enough to connect
-    all that link."""
+    """The sets that were compared (key, sig1, sig2), and rows (a, b, n): links between them, enough to
+    connect all that link, and, where b is null, a set and how many documents of other sets it links with."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     again = narrow.alias("d").join(
@@ -308,9 +323,11 @@ def links(
     # The number of a set here is the first half of its signature, unless two sets share it.
     found = again.mapInArrow(run, "sig1 long, sig2 long, hashes array<long>")
     sets = materialize(
-        found.join(able.select("sig1", "sig2"), ["sig1", "sig2"])
-        .groupBy("sig1", "sig2").agg(F.any_value("hashes").alias("hashes"))
-        .select(F.xxhash64("sig1", "sig2").alias("key"), "sig1", "sig2", F.size("hashes").cast("long").alias("n"), "hashes")
+        found.join(able.select("sig1", "sig2", "docs"), ["sig1", "sig2"])
+        .groupBy("sig1", "sig2").agg(F.any_value("hashes").alias("hashes"), F.any_value("docs").alias("docs"))
+        .select(
+            F.xxhash64("sig1", "sig2").alias("key"), "sig1", "sig2", F.size("hashes").cast("long").alias("n"), "docs", "hashes"
+        )
     )
     groups = materialize(_candidates(sets, s))
     size = F.greatest(F.count("*") / BLOCK, F.sum("n") / ENTRIES)
@@ -325,25 +342,30 @@ def links(
     # Blocks of a group meet two by two: a set goes to every pair that holds its block.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = placed.select(F.col("node").alias("key"), "component", "block", other).select(
-        "key", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
+        "key", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
     )
     small = F.pmod(F.xxhash64("component", "x", "y"), F.lit(4 * parts(spark)))
     # Small groups share a task's call; sets of different groups are told apart by their shingles.
-    rows = sets.select("key", "hashes").join(tiles, "key").withColumn("tile", small)
+    rows = sets.select("key", "docs", "hashes").join(tiles, "key").withColumn("tile", small)
 
     def product(table: pa.Table) -> pa.Table:
-        pdf = table.select(["key", "component", "x", "y"]).to_pandas()
+        pdf = table.select(["key", "docs", "component", "block", "x", "y"]).to_pandas()
         hashes = table["hashes"].combine_chunks()
         flat = hashes.values.to_numpy()
         ends = hashes.offsets.to_numpy()
-        found: list[tuple[int, int]] = []
-        for _, at in pdf.groupby(["component", "x", "y"], sort=True).indices.items():
-            if len(at) > 1:
-                found += _block_links(pdf["key"].to_numpy()[at], [flat[ends[i] : ends[i + 1]] for i in at], s.percent)
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    pairs = rows.groupBy("tile").applyInArrow(product, "a long, b long")
+        key, docs, block = (pdf[c].to_numpy() for c in ("key", "docs", "block"))
+        found: list[tuple[int, int | None, int | None]] = []
+        for (_, x, y), at in pdf.groupby(["component", "x", "y"], sort=True).indices.items():
+            if len(at) < 2 or (x != y and len(set(block[at].tolist())) < 2):
+                continue
+            sets = [flat[ends[i] : ends[i + 1]] for i in at]
+            some, degree = _tile_links(key[at], docs[at], block[at], sets, s.percent)
+            found += [(a, b, None) for a, b in some]
+            found += [(a, None, n) for a, n in zip(key[at].tolist(), degree.tolist()) if n]
+        a, b, n = zip(*found) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    pairs = rows.groupBy("tile").applyInArrow(product, "a long, b long, n long")
     return sets.select("key", "sig1", "sig2"), materialize(pairs)
 
 
@@ -351,32 +373,31 @@ def jaccard_groups(
     docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Groups of near duplicates: id, ``n_shingles``, ``component_id``, the smallest id that links
-    lead to, and ``n_links``, how many found links start or end at the document's shingle set.
+    lead to, and ``n_links``, how many other documents (rows) the document links with, copies too.
 
     Documents with the same set are one row of the matrix (copies make no pairs). A first pass over
     the incidence matrix, dealt out by shingle in packed columns, counts for each row the shingles
     that other rows hold; rows below the bound of their size can link with nothing and go. The
-    rest are grouped by their rarest shingles, and each group's product is made in blocks. All
-    linked pairs are connected; within a group not every link is listed.
+    rest are grouped by their rarest shingles, and each group's product is made in blocks, each pair
+    in one. Every linked pair counts; links are listed only as far as they connect.
 
     Null and empty texts have no shingle and stay alone. Repeated rows are kept; a null id counts
     as the largest. An empty table gives no rows."""
     rows, able = classes(docs, settings, id_col, text_col)
     sets, found = links(docs, able, settings, id_col, text_col)
-    groups = components(found)
-    degree = (
-        found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    )
+    groups = components(found.filter("b is not null").select("a", "b"))
+    degree = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     named = materialize(
         sets.join(groups.withColumnRenamed("node", "key"), "key").join(degree.withColumnRenamed("node", "key"), "key")
         .select("sig1", "sig2", "component", "n_links")
     )
     # First id of every set, then of every component; both are grouped minima.
-    first = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("key").alias("first"))
+    first = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("key").alias("first"), F.count("*").alias("docs"))
     in_group = first.join(named, ["sig1", "sig2"], "left")
     least = in_group.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     of_set = in_group.join(least, "component", "left").select(
-        "sig1", "sig2", F.coalesce("least", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "sig1", "sig2", F.coalesce("least", "first").alias("component_id"),
+        (F.col("docs") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
     out = rows.join(of_set, ["sig1", "sig2"], "left")
     alone = F.col("n") == 0

@@ -39,6 +39,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with each document's number of links, which the SQL of op6_jaccard_join leaves out."""
+    return jaccard.jaccard_groups(documents(spark, sf_dir), jaccard.Settings(words=3, percent=90))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_probe(documents(spark, sf_dir))
 
@@ -61,7 +66,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_mix_sources, op3_pack_sequences, op4_license_scan, op5_toxicity,
-        op6_jaccard_join, op7_fingerprints, op8_token_files, op9_quality_rules, op10_language_id,
+        op6_jaccard_join, op6_link_counts, op7_fingerprints, op8_token_files, op9_quality_rules,
+        op10_language_id,
     )
 }
 #: The smallest id that links lead to, by a walk over all links; shingles as lists of words.

@@ -146,6 +146,38 @@ def test_groups_of_odd_rows(spark):
     assert jaccard.jaccard_groups(empty(spark)).count() == 0
 
 
+def brute_links(rows, k, percent):
+    """Of each row, how many other rows it links with."""
+    sets = [shingles(t, k) for _, t in rows]
+    return sorted(
+        (i, sum(1 for b, y in enumerate(sets) if a != b and x and y and 100 * len(x & y) >= percent * len(x | y)))
+        for a, ((i, _), x) in enumerate(zip(rows, sets))
+    )
+
+
+@pytest.mark.parametrize("block", [5, 1500])
+def test_links_match_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(3)
+    rows = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h i l", "", None, "", "one", "ONE"]
+    for g in range(6):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([30, 120]))]
+        rows += [edited(rng, base, rng.choice([0, 0, 1, 3])) for _ in range(rng.choice([3, 12, 40]))]
+    rows = list(enumerate(rows))
+    rows += [rows[0], rows[20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard.jaccard_groups(docs, jaccard.Settings(3, 75)).collect()
+    want = brute_links(rows, 3, 75)
+    assert sorted((r.doc_id, r.n_links) for r in got) == want
+    assert dict(want)[1] == 3 and dict(want)[3] == 0  # three sets link mutually, one of them is twice there
+
+
+def test_link_counts_are_returned(spark, sf):
+    got = queries.op6_link_counts(spark, sf).collect()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((r.doc_id, r.n_links) for r in got) == brute_links(rows, 3, 90)
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2001, 2000), (2000, 2001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
