@@ -41,20 +41,39 @@ def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates (five words, 0.8).
-    Documents without words are no duplicates of each other; of repeated rows one stays."""
-    groups = jaccard.jaccard_groups(docs, jaccard.Settings(words=5, percent=80))
-    gone = groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone"))
-    rest = docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return rest.dropDuplicates(["doc_id"])
+    """Keep one document of each group of near duplicates (five words, 0.8): the one with the smallest
+    id, or of several such rows the one with the smallest digest. A null id counts as the largest.
+
+    Rows are told apart by a 64-bit digest of all their columns, not by ids: of rows equal in all
+    columns one stays, and documents without words are otherwise no duplicates of each other."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # A hash passes over nulls, so where they are goes into it too.
+    keyed = docs.withColumn("_digest", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    groups = jaccard.jaccard_groups(keyed, jaccard.Settings(words=5, percent=80), "_digest")
+    members = groups.select("_digest", F.col("component_id").alias("_group")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_digest")))
+    kept = keyed.select("doc_id", "_digest").distinct().join(members, "_digest").groupBy("_group").agg(first.alias("_first"))
+    rest = keyed.join(kept.select("_first._digest"), "_digest", "left_semi")
+    return _as_documents(rest.dropDuplicates(["doc_id", "_digest"]), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix says: rows repeat, or go where it is not taken."""
+    """Take each document as often as the mix says: rows repeat, or go where it is not taken. Rows of
+    one id, source and size are one unit of the mix and are taken alike."""
     copies = materialize(
-        mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies")).distinct()
+        mixing.mix(docs).filter("copies > 0")
+        .select(
+            F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+            F.col("copies").cast("int").alias("_copies"),
+        )
+        .distinct()
+    )
+    sized = docs.withColumn("_words", mixing.n_words("text"))
+    taken = sized.join(
+        copies,
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.col("_words") == F.col("_size")),
     )
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
     repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return _as_documents(repeated, docs)
 

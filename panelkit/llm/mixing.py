@@ -135,7 +135,7 @@ def mix(
     docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """How often the mix takes each document: id, ``size``, ``source_size``, ``target``,
+    """How often the mix takes each document: id, ``source``, ``size``, ``source_size``, ``target``,
     ``copies``, ``taken`` (words, repeats counted).
 
     Each document of a source is due target / source_size times. The whole part is taken; for the
@@ -162,7 +162,7 @@ def mix(
     )
     joined = sizes.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     rows = materialize(
-        joined.select("s.key", "s.size", "t.rank", "t.source_size", "t.target", "t.whole", "t.pi")
+        joined.select("s.key", "s.source", "s.size", "t.rank", "t.source_size", "t.target", "t.whole", "t.pi")
     )
     units = (
         rows.groupBy("rank", "key", "size", "pi").agg(F.count("*").alias("times"))
@@ -192,6 +192,6 @@ def mix(
     )
     copies = F.col("whole") + F.col("extra")
     return out.select(
-        F.col("r.key").alias(id_col), F.col("r.size").alias("size"), "source_size", "target",
+        F.col("r.key").alias(id_col), F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target",
         copies.alias("copies"), (copies * F.col("r.size")).alias("taken"),
     )

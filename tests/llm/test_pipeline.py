@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline as P
 from panelkit.sources.io import materialize
-from tests.llm.common import odd, odd_rows
+from tests.llm.common import odd, odd_rows, texts
 from tests.llm.test_texts import brute_groups
 from tests.llm.test_tokens import check_packing
 
@@ -53,3 +53,26 @@ def test_short_texts_keep_their_language(spark, sf):
     more = spark.createDataFrame([(-i, t, None) for i, t in enumerate(some, 1)] + strange, docs.schema)
     kept = {r.doc_id for r in P.reject_language(spark, docs.unionByName(more), sf).collect()}
     assert set(range(-len(some), 0)) <= kept and not {-100, -101} & kept
+
+
+def test_rows_without_an_id_of_their_own(spark, sf):
+    a, b, c, d = texts(seed=5, n=400)[:4]
+    long = [t + " " + " ".join(f"{k}{i}" for i in range(30)) for k, t in zip("abcd", (a, b, c, d))]
+    rows = [
+        (None, long[0], "en", "a"), (None, long[1], "en", "a"), (None, long[1], "en", None), (7, long[2], "en", "a"), (7, long[3], "en", "a"),
+        (7, long[3], "en", "a"), (3, long[2], "en", "b"), (None, "", None, "a"), (None, "", "a", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = P.deduplicate(spark, docs, sf).collect()
+    # Of the two null rows of one text either stays, and of the texts under 7 one is a copy of 3's.
+    assert sorted(r.text for r in kept) == sorted(["", "", *long])
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [3, 7]
+
+
+def test_mix_takes_rows_of_one_id_apart(spark, sf):
+    rows = [(i % 3 if i % 2 else None, f"d{i} " + "w " * (i % 5), None if i % 7 == 0 else "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = lambda t: len(t.split())
+    want = sorted((r.size, r.source or "", r.doc_id or -1) for r in P.mixing.mix(docs).collect() for _ in range(r.copies))
+    got = sorted((n(r.text), r.source or "", r.doc_id or -1) for r in P.mix_sources(spark, docs, sf).collect())
+    assert got == want
