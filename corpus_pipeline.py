@@ -13,6 +13,9 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Breaks per symbol from which on a text is in none of the learnt languages. Labelled languages
 #: need about 0.17 of their own; strings of random letters more than 0.5.
 FOREIGN = 0.5
+#: A language whose own text breaks more often (scripts of many letters) is bounded at this part of the way
+#: from its own rate to 1 instead.
+BEYOND = 1 / 3
 #: The rate of n symbols counts sqrt(n / (n + EVIDENCE)) times, so none of under 8 symbols reaches FOREIGN.
 EVIDENCE = 24
 
@@ -35,8 +38,12 @@ def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     language than any language is from itself. A short text shows little of that and so is kept."""
     model = langid.fit(docs, folds=None)
     found = docs.withColumn("_lang", langid.predict(spark, model))
+    bounds = [max(FOREIGN, own + BEYOND * (1 - own)) for own in model.own]
+    bound = F.lit(FOREIGN)
+    for name, own in zip(model.languages, bounds):
+        bound = F.when(F.col("_lang.lang_pred") == name, own).otherwise(bound)
     trust = F.sqrt(F.col("_lang.symbols") / (F.col("_lang.symbols") + EVIDENCE))
-    kept = (F.col("_lang.lang_pred") != langid.UNDETERMINED) & (F.col("_lang.rate") * trust < FOREIGN)
+    kept = (F.col("_lang.lang_pred") != langid.UNDETERMINED) & (F.col("_lang.rate") * trust < bound)
     return _as_documents(found.filter(kept), docs)
 
 

@@ -23,7 +23,8 @@ class Settings:
     #: Bound on the labelled text of a language: characters, and rows they are taken from.
     chars: int = 24_000
     rows: int = 200
-    #: Letters told apart; further ones share a symbol that no labelled text holds.
+    #: The most frequent letters, with a column of the dense table each. All others of the labelled
+    #: text have symbols too, with sparse transitions.
     letters: int = 61
     #: A text is parsed in windows of so many characters, each from its own start.
     window: int = 1024
@@ -32,15 +33,18 @@ class Settings:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    letters: str  # symbol 2 and on; 0 is the gap between words, 1 any other letter
-    edges: bytes  # packed transition table, int32 [state * width + symbol]
+    letters: str  # symbol 2 and on, dense ones first; 0 is the gap between words, 1 any other letter
+    edges: bytes  # packed transition table of the dense symbols, int32 [state * width + symbol]
+    sparse: bytes  # packed keys (state * width << 32 | symbol, ascending), then entries, int64
+    starts: bytes  # packed int32 [symbol beyond width, language]: what follows a failure
     states: int
     roots: tuple[int, ...]
+    own: tuple[float, ...]  # breaks per symbol of a language's labelled text by one half of it
     settings: Settings
 
     @property
     def width(self) -> int:
-        return len(self.letters) + 2
+        return min(len(self.letters), self.settings.letters) + 2
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -78,7 +82,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 def symbol_table(letters: str) -> np.ndarray:
     """Symbol of each code point: letters by their lower case, everything else is a gap."""
     number = {c: i + 2 for i, c in enumerate(letters)}
-    table = np.zeros(0x110000, "u1")
+    table = np.zeros(0x110000, "i4")
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
@@ -97,11 +101,15 @@ def build(texts: dict[str, list[str]], settings: Settings) -> Model:
     """One automaton per language, in one table. Every entry already holds what follows a failure:
     the state after the symbol, and whether a phrase ended before it."""
     common = Counter(c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha())
-    letters = "".join(sorted(c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: settings.letters]))
+    ranked = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
+    letters = "".join(sorted(ranked[: settings.letters]) + ranked[settings.letters :])
     number = {c: i + 2 for i, c in enumerate(letters)}
-    width = len(letters) + 2
-    tables, roots, offset = [], [], 0
-    for language in sorted(texts):
+    width = min(len(letters), settings.letters) + 2
+    tables, roots, offset, own = [], [], 0, []
+    keys: list[int] = []
+    entries: list[int] = []
+    starts = np.empty((len(letters) + 2 - width, len(texts)), "<i4")
+    for i, language in enumerate(sorted(texts)):
         seq: list[int] = []
         for t in texts[language]:
             seq.append(0)
@@ -111,24 +119,50 @@ def build(texts: dict[str, list[str]], settings: Settings) -> Model:
                     seq.append(s)
             if len(seq) >= settings.chars:
                 break
-        edges = suffix_automaton(seq[: settings.chars])
+        seq = seq[: settings.chars]
+        own.append(_own_rate(seq))
+        edges = suffix_automaton(seq)
         # An entry is the next state times 4 plus the phrases that end: one where the match cannot
         # go on, and one more for a symbol that the labelled text does not hold, itself a phrase.
         root = np.full(width, offset * width * 4 + 2, "i8")
+        starts[:, i] = offset * width * 4 + 2
         for s, to in edges[0].items():
-            if s != 1:
+            if s >= width:
+                starts[s - width, i] = (to + offset) * width * 4 + 1
+            elif s != 1:
                 root[s] = (to + offset) * width * 4 + 1
         table = np.tile(root, (len(edges), 1))
         table[0] -= 1  # no phrase is open at the root
         for state, out in enumerate(edges):
             for s, to in out.items():
-                if s != 1:
+                if s >= width:
+                    keys.append((state + offset) * width << 32 | s)
+                    entries.append((to + offset) * width * 4)
+                elif s != 1:
                     table[state, s] = (to + offset) * width * 4
         tables.append(table)
         roots.append(offset * width)
         offset += len(edges)
     packed = np.concatenate(tables).astype("<i4").tobytes() if tables else b""
-    return Model(tuple(sorted(texts)), letters, zlib.compress(packed, 1), offset, tuple(roots), settings)
+    order = np.argsort(np.array(keys, "<i8"))
+    sparse = np.concatenate([np.array(keys, "<i8")[order], np.array(entries, "<i8")[order]]).tobytes()
+    return Model(
+        tuple(sorted(texts)), letters, zlib.compress(packed, 1), zlib.compress(sparse, 1), starts.tobytes(), offset,
+        tuple(roots), tuple(own), settings,
+    )
+
+
+def _own_rate(seq: list[int]) -> float:
+    """Breaks per symbol of the second half of a sequence parsed by its first: somewhat more than
+    further text of the language needs, as it is learnt from half as much."""
+    half = len(seq) // 2
+    edges, state, breaks = suffix_automaton(seq[:half]), 0, 0
+    for s in seq[half:]:
+        if s not in edges[state]:
+            breaks += 1
+            state = 0
+        state = edges[state].get(s, 0)
+    return breaks / max(1, len(seq) - half)
 
 
 def fit(
@@ -169,6 +203,21 @@ class Parser:
         self.table = np.frombuffer(zlib.decompress(model.edges), "<i4")
         self.symbols = symbol_table(model.letters)
         self.roots = np.array(model.roots, "i4")
+        self.keys, self.entries = np.frombuffer(zlib.decompress(model.sparse), "<i8").reshape(2, -1)
+        self.starts = np.frombuffer(model.starts, "<i4").reshape(-1, max(1, len(model.roots)))
+
+    def _step(self, state: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Entries [window, language] for the next symbol of each window."""
+        width = self.model.width
+        if not len(self.keys) or not (rare := here >= width).any():
+            return self.table[state + here[:, None]]
+        out = self.table[state + np.where(rare, 0, here)[:, None]]
+        at, symbol = state[rare].astype("i8"), here[rare]
+        missed = self.starts[symbol - width] - (at == self.roots)
+        key = at << 32 | symbol[:, None]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[rare] = np.where(self.keys[place] == key, self.entries[place], missed)
+        return out
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Number of phrases [text, language] and of symbols [text].
@@ -196,7 +245,7 @@ class Parser:
             active = np.searchsorted(-size_, -np.arange(1, size_[0] + 1), "right")
             for step, n in enumerate(active.tolist()):
                 here = flat[begin_[:n] + step]
-                step_to = self.table[state[:n] + here[:, None]]
+                step_to = self._step(state[:n], here)
                 ended[:n] += step_to & 3
                 state[:n] = step_to >> 2
             np.add.at(out, owner[span], ended + (state != self.roots))  # open ones end here

@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline as P
 from panelkit.sources.io import materialize
 from tests.llm.common import odd, odd_rows, texts
-from tests.llm.test_texts import brute_groups
+from tests.llm.test_texts import brute_groups, scripts
 from tests.llm.test_tokens import check_packing
 
 
@@ -76,3 +76,9 @@ def test_mix_takes_rows_of_one_id_apart(spark, sf):
     want = sorted((r.size, r.source or "", r.doc_id or -1) for r in P.mixing.mix(docs).collect() for _ in range(r.copies))
     got = sorted((n(r.text), r.source or "", r.doc_id or -1) for r in P.mix_sources(spark, docs, sf).collect())
     assert got == want
+
+
+def test_texts_of_many_scripts_stay(spark, sf):
+    rows = scripts()
+    docs = spark.createDataFrame(rows + [(-1, "qxzj vwkq " * 40, None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in P.reject_language(spark, docs, sf).collect()) == [i for i, _, _ in rows]

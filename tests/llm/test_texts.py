@@ -377,6 +377,45 @@ def test_phrases_match_brute_force():
                 assert abs(phrases(s, seq) - k) <= 1, (t, name)  # unseen symbols start the next phrase
 
 
+def scripts(seed=4, rows=60):
+    """Texts of four scripts that together have far more than 61 letters."""
+    rng = random.Random(seed)
+    words = {
+        "en": "the of and rain wind market house river stone light green paper".split(),
+        "ru": "и в не на дождь ветер рынок дом река камень свет зелёный бумага чай щука эхо юг объезд".split(),
+        "el": "και το της βροχή άνεμος αγορά σπίτι ποταμός πέτρα φως πράσινο χαρτί ψωμί ξύλο".split(),
+    }
+    han = [chr(0x4E00 + k) for k in rng.sample(range(5000), 600)]
+    words["zh"] = [rng.choice(han) + rng.choice(han) for _ in range(900)]
+    weights = {k: [1 / (i + 1) for i in range(len(w))] for k, w in words.items()}
+    out = []
+    for k, w in words.items():
+        for _ in range(rows):
+            some = rng.choices(w, weights[k], k=rng.randint(40, 120))
+            out.append((len(out), ("" if k == "zh" else " ").join(some), k))
+    return out
+
+
+def test_phrases_of_many_letters_match_brute_force():
+    learnt = {}
+    for _, t, k in scripts(rows=2):
+        learnt.setdefault(k, []).append(t)
+    few = langid.Parser(langid.build(learnt, langid.Settings(letters=5)))
+    all_ = langid.Parser(langid.build(learnt, langid.Settings(letters=10_000)))
+    some = [t for _, t, _ in scripts(seed=9, rows=3)] + ["", "qщ水 ξq", "Ω", "ابجد"]
+    assert len(few.keys) and not len(all_.keys)
+    for a, b in zip(few.phrases(some), all_.phrases(some)):
+        assert (a == b).all()
+
+
+def test_language_of_many_scripts(spark):
+    rows = scripts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    held = [(i, k) for i, _, k in rows if got[i].held_out]
+    assert {k for _, k in held} == {"en", "ru", "el", "zh"} and all(got[i].lang_pred == k for i, k in held)
+
+
 def test_language_of_odd_rows(spark):
     rows = langid.identify(odd(spark)).collect()
     assert len(rows) == len(odd_rows())
