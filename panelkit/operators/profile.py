@@ -15,7 +15,7 @@ from panelkit.functions.contract import clip, flag, has, positive, truth
 from panelkit.functions.scalar import EVENING_PEAK, LATE_PEAK, MIDDAY
 from panelkit.operators.window import expanding_prev
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars
-from panelkit.plans.ranks import quantiles, weight_below
+from panelkit.plans.ranks import finite, quantiles, weight_below
 from panelkit.sources.io import materialize
 
 # Proven size of the calendar part of a cell key.
@@ -50,10 +50,10 @@ def summarize(
     wanted: Mapping[str, tuple[Column | str, float]],
     spec: PanelSpec,
 ) -> DataFrame:
-    """Aggregates and exact quantiles of the same groups."""
+    """Aggregates and exact quantiles of the same groups; NaN and infinity are in no quantile."""
     by = list(by)
     if spec.bounded(by):
-        qs = {a: F.percentile(c, F.lit(float(q))) for a, (c, q) in wanted.items()}
+        qs = {a: F.percentile(finite(c), F.lit(float(q))) for a, (c, q) in wanted.items()}
         return df.groupBy(*by).agg(*[e.alias(a) for a, e in {**aggs, **qs}.items()])
     base = df.groupBy(*by).agg(*[e.alias(a) for a, e in aggs.items()])
     if not wanted:
@@ -272,7 +272,7 @@ def empirical_pctl(train: DataFrame, df: DataFrame, c: str, spec: PanelSpec) ->
     """Mid-rank of each value among its entity's training values, over n - 1 (so the top
     value exceeds 1), and a flag from 0.8 up. An entity without training rows gets NULL."""
     e = spec.entity
-    x = F.col(c).cast("double").alias("__v")
+    x = finite(c).cast("double").alias("__v")
     fitted = train.select(e, x, F.lit(1).alias("__n")).filter(F.col("__v").isNotNull())
     asked = df.select(e, x, F.lit(0).alias("__n")).filter(F.col("__v").isNotNull())
     values = fitted.unionByName(asked).groupBy(e, "__v").agg(F.sum("__n").alias("__n"))

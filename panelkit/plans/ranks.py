@@ -3,7 +3,8 @@
 Values are first counted per (group, value), then located through two levels of value buckets:
 a logarithmic one (a fixed function of the value) and an even split of each bucket's own range.
 Bucket counts are carried forward, so only the rows of one small bucket are ever sorted
-together. Groups proven small use the built-in ``percentile`` or one window instead.
+together. Groups proven small use the built-in ``percentile`` or one window instead. NaN and
+infinity are missing values on both routes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ PER_OCTAVE = 256
 FINE = 16_384
 
 
+def finite(v: Column | str) -> Column:
+    """The value, NULL if it is NaN or infinite."""
+    v = col(v)
+    return F.when(F.abs(v.cast("double")) < float("inf"), v)  # NaN is above infinity
+
+
 def _coarse(v: Column) -> Column:
     """Non-decreasing whole number of a double: sign and 1/256 octave of its size."""
     size = F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + F.lit(1100 * PER_OCTAVE)
@@ -69,13 +76,18 @@ def _before(n: str, keys: Sequence[str], order: str) -> Column:
 def weight_below(
     d: DataFrame, keys: Sequence[str], value: str, n: str, spec: PanelSpec, name: str = "below"
 ) -> DataFrame:
-    """For rows (keys, value, n) unique in (keys, value): total ``n`` of smaller values."""
+    """For rows (keys, value, n) unique in (keys, value): total ``n`` of smaller values. Missing,
+    NaN and infinite values come out as NULL with a NULL total and count for no other row."""
     keys = list(keys)
+    d = d.withColumn(value, finite(value))
+    present = F.col(value).isNotNull()
     if spec.bounded(keys):
-        return d.withColumn(name, _before(n, keys, value))
-    out = _located(d, keys, value, n)
+        d = d.withColumn("__w", F.when(present, F.col(n)))
+        return d.withColumn(name, F.when(present, _before("__w", keys, value))).drop("__w")
+    out = _located(d.filter(present), keys, value, n)
     inside = _before(n, [*keys, "__b1", "__b2"], value)
-    return out.withColumn(name, F.col("__base") + inside).drop("__b1", "__b2", "__base")
+    out = out.withColumn(name, F.col("__base") + inside).drop("__b1", "__b2", "__base")
+    return out.unionByName(d.filter(~present).withColumn(name, F.lit(None)))
 
 
 def quantiles(
@@ -84,7 +96,7 @@ def quantiles(
     wanted: Mapping[str, tuple[Column | str, float]],
     spec: PanelSpec,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group; NULLs skipped.
+    """Exact linear-interpolation quantiles per group; NULL, NaN and infinity skipped.
 
     ``wanted`` maps an output name to (value expression, q). Every group of ``keys`` is kept,
     with NULL where it has no value. With no keys one row comes back.
@@ -92,7 +104,7 @@ def quantiles(
     keys = list(keys)
     if spec.bounded(keys):
         return df.groupBy(*keys).agg(
-            *[F.percentile(col(c), F.lit(float(q))).alias(a) for a, (c, q) in wanted.items()]
+            *[F.percentile(finite(c), F.lit(float(q))).alias(a) for a, (c, q) in wanted.items()]
         )
 
     # One long row per distinct value expression.
@@ -106,7 +118,7 @@ def quantiles(
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(i).alias("s"), e.cast("double").alias("v"))
+                    F.struct(F.lit(i).alias("s"), finite(e).cast("double").alias("v"))
                     for i, (e, _) in enumerate(series)
                 ]
             )
@@ -184,21 +196,23 @@ def quantiles(
 def rank_pct(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], spec: PanelSpec, suffix: str
 ) -> DataFrame:
-    """Average-tie percent rank of each column within its group; NULL stays NULL."""
+    """Average-tie percent rank of each column within its group; NULL, NaN and infinity get NULL."""
     keys = list(keys)
     if spec.bounded(keys):
         out = {}
         for c in columns:
+            v = f"__v_{c}"
             group = W.partitionBy(*keys)
-            peers = F.count(c).over(W.partitionBy(*keys, c))
-            first = F.rank().over(group.orderBy(F.col(c).asc_nulls_last()))
+            peers = F.count(v).over(W.partitionBy(*keys, v))
+            first = F.rank().over(group.orderBy(F.col(v).asc_nulls_last()))
             out[c + suffix] = F.when(
-                F.col(c).isNotNull(),
-                (first + (peers - 1) / F.lit(2.0)) / F.count(c).over(group),
+                F.col(v).isNotNull(),
+                (first + (peers - 1) / F.lit(2.0)) / F.count(v).over(group),
             )
-        return df.withColumns(out)
+        values = {f"__v_{c}": finite(c) for c in columns}
+        return df.withColumns(values).withColumns(out).drop(*values)
     for c in columns:
-        counted = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(c).alias("__n"))
+        counted = df.filter(finite(c).isNotNull()).groupBy(*keys, c).agg(F.count(c).alias("__n"))
         totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__all"))
         pct = (
             attach(weight_below(counted, keys, c, "__n", spec, "__below"), totals, keys)

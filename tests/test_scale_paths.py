@@ -250,3 +250,26 @@ def test_ridge(data, spread):
             df, model.grouped_ridge(df, by, ["x", "y"], "target", small), by, ["x", "y"], small
         )
         same(a, b, KEY, 1e-7)
+
+
+def test_nan_and_infinity_are_missing_on_both_routes(data):
+    odd = F.when(F.col("id") % 17 == 3, float("nan")).when(F.col("id") % 17 == 5, float("inf")).when(F.col("id") % 17 == 7, float("-inf"))
+    df = data[0].withColumn("y", F.coalesce(odd, "y"))
+    clean = data[0].withColumn("y", F.when(odd.isNull(), F.col("y")))
+    spread, small = PanelSpec(chunk_rows=3), PanelSpec().measured(df)
+    want = {"q": ("y", 0.3), "top": ("y", 1.0), "m": (F.col("y") * 2, 0.5)}
+    right = ranks.quantiles(clean, ["entity"], want, small)
+    n = {"n": F.count(F.lit(1))}
+    d = df.groupBy("entity", "y").agg(F.count("*").alias("n"))
+    e = clean.filter("y is not null").groupBy("entity", "y").agg(F.count("*").alias("n"))
+    below = ranks.weight_below(e, ["entity"], "y", "n", small)
+    ranked = ranks.rank_pct(clean, ["entity"], ["y"], small, "_r").select("id", "y_r")
+    for spec in (spread, small):
+        same(ranks.quantiles(df, ["entity"], want, spec), right, "entity")
+        same(profile.summarize(df, ["entity"], n, want, spec), profile.summarize(clean, ["entity"], n, want, small), "entity")
+        got = ranks.weight_below(d, ["entity"], "y", "n", spec)
+        same(got.filter("y is not null"), below, ["entity", "y"])
+        assert got.filter("y is null and below is null").count() == d.count() - below.count() > 0
+        same(ranks.rank_pct(df, ["entity"], ["y"], spec, "_r").select("id", "y_r"), ranked, "id")
+        got = profile.empirical_pctl(df, df, "y", spec).drop("y")
+        same(got, profile.empirical_pctl(clean, clean, "y", small).drop("y"), "id")
