@@ -273,3 +273,20 @@ def test_nan_and_infinity_are_missing_on_both_routes(data):
         same(ranks.rank_pct(df, ["entity"], ["y"], spec, "_r").select("id", "y_r"), ranked, "id")
         got = profile.empirical_pctl(df, df, "y", spec).drop("y")
         same(got, profile.empirical_pctl(clean, clean, "y", small).drop("y"), "id")
+
+
+def test_long_std_forgets_a_spike(spark):
+    rows = [("a", i, 1e6 * (i + 1) / 100 if i < 100 else 5.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "entity string, id long, target double")
+    df = df.withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int))"))
+    windows = [168, 169, 720]
+    for spec in (PanelSpec().measured(df, "ts"), PanelSpec(chunk_rows=100)):
+        got = window.rolling(df, spec, ["target"], windows).collect()
+        assert len(got) == 1000
+        for n in windows:
+            flat = [r for r in got if r.id >= 100 + n]
+            assert flat and all(r[f"target_roll_std_{n}"] == 0 and r[f"target_roll_mean_{n}"] == 5 for r in flat)
+        slow = window.slow_state(df, spec, "target").filter("id >= 820").collect()
+        assert len(slow) == 180 and all(r.target_roll_std_720 == 0 for r in slow)
+        moved = window.volatility(df, spec, ["target"]).filter("id >= 780").collect()
+        assert all(r.target_vol_28d == 0 and r.target_vol_z_7d_28d == 0 for r in moved)
