@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelkit.llm import fingerprint, jaccard, langid, licenses, mixing, packing, quality, tokens, toxicity
+from panelkit.llm import chat, fingerprint, jaccard, langid, licenses, merkle, mixing, packing, quality, repair, tokens, toxicity
 from panelkit.llm.common import documents
+from panelkit.sources.io import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -62,12 +64,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.conversations(spark, sf_dir)
+    return repair.repair(repair.damaged(turns), turns)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.conversations(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', r'{hard}'), (-7L, 1L, 'assistant', r'{hard}') AS t(conv_id, turn, role, text)")
+    log = chat.turns_as_log(turns.unionByName(more))
+    written = materialize(chat.render(chat.fold_events(log)))
+    read = written.select(
+        "conv_id", chat.parse(F.col("formatted")).alias("turns"), chat.learnt(F.col("formatted"), F.col("loss")).alias("learnt"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(third, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    proven = merkle.prove(docs, "doc_id", "lang", columns, {"text": tampered})
+    folded = merkle.fold(F.col("given"), F.col("proof"))
+    return proven.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_mix_sources, op3_pack_sequences, op4_license_scan, op5_toxicity,
         op6_jaccard_join, op6_link_counts, op7_fingerprints, op8_token_files, op9_quality_rules,
-        op10_language_id,
+        op10_language_id, op11_conversation_repair, op12_chat_format, op13_merkle_manifest,
     )
 }
 #: The smallest id that links lead to, by a walk over all links; shingles as lists of words.
