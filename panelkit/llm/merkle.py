@@ -144,7 +144,8 @@ def prove(
     )
     count, largest = trees.agg(F.count("tree"), F.max("n")).first()
     bare = F.struct("tree", F.lit(0).alias("level"), "idx").alias("node")
-    lower, subroots = _levels(leaves.select("tree", "idx", "n", "digest", bare), largest or 0)
+    lower, ends = _levels(leaves.select("tree", "idx", "n", "digest", bare), largest or 0)
+    subroots = materialize(ends)  # one row a group: the planner sees its size and need not deal rows by group
 
     ordered = add_running_start(subroots.withColumn("one", F.lit(1)), [F.col("tree")], "one", "idx")
     over = ordered.select(F.lit(TOP).cast("long").alias("tree"), F.col("idx").cast("long").alias("idx"), F.lit(count).cast("long").alias("n"), "digest", "node")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import chat, fingerprint, jaccard, langid, licenses, merkle, mixing, packing, quality, repair, tokens, toxicity
 from panelkit.llm.common import documents
+from panelkit.llm.oracles import CHAT_FORMAT, CONVERSATION_REPAIR, MERKLE_MANIFEST
 from panelkit.sources.io import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -139,4 +140,7 @@ reach AS (
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.other) AS component_id
 FROM n JOIN reach r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """,
+    "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_chat_format": CHAT_FORMAT,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }
