@@ -12,7 +12,9 @@ from panelkit.operators import folds as G
 from panelkit.operators import metrics as H
 from panelkit.operators import model as M
 from panelkit.operators import profile as P
+from panelkit.operators import recursion as R
 from panelkit.operators import window as Wn
+from panelkit.plans.trees import grow
 from panelkit.sources.io import materialize
 
 X = ["load_forecast_lag_1", "load_forecast_lag_24", "target_roll_mean_24", "load_forecast", "hour"]
@@ -169,9 +171,7 @@ def _local(s, d):
     # One entity is left out of the fit and takes the global prediction.
     train = split(rows).filter("entity <> 'view'")
     linear = M.fit_local(train, X, "target", spec)
-    trees = M.fit_local(
-        train, X, "target", spec, "gbt", ["click", "error"], maxIter=5, maxDepth=3
-    )
+    trees = M.fit_local(train, X, "target", spec, "gbt", trees=10, depth=3)
     out = _score(linear.predict(test_part(rows)), spec, "ridge")
     return out.unionByName(_score(trees.predict(test_part(rows)), spec, "gbt"))
 
@@ -346,6 +346,66 @@ def _recursive(s, d):
 
 register("J13_recursive_forecast", shape("entity ts", "id", "pred"), _recursive)
 
+
+def _ridge_on(rows, x, spec):
+    return R.LinearModels(materialize(M.grouped_ridge(rows, ["entity"], x, "target", spec)), x)
+
+
+def _ahead(s, d):
+    """Training rows with history features, and the horizon with a direct prediction and the entity's mean."""
+    df, spec = hourly(s, d)
+    lag_steps, windows = (1, 2, 24), (24, 48)
+    both = Wn.rolling(Wn.lags(df, spec, ["target"], lag_steps), spec, ["target"], windows, ["mean", "std"])
+    train = materialize(split(both))
+    direct = M.grouped_ridge(train, ["entity"], ["load_forecast"], "target", spec)
+    ahead = M.predict_ridge(test_part(_with_mean(df, spec)), direct, ["entity"], ["load_forecast"], spec, "direct")
+    return train, ahead, spec, lag_steps, windows
+
+
+def _mixture(s, d):
+    """Linear models of the last value and, in the upper tail, of the value a day before."""
+    train, ahead, spec, lag_steps, windows = _ahead(s, d)
+    upper = M.tail_labels(train, "upper", spec, 0.8).filter("tail_label = 1")
+    models = R.Mixture(_ridge_on(train, ["target_lag_1"], spec), _ridge_on(upper, ["target_lag_24"], spec))
+    return R.recursive_mixture(train, ahead, models, spec, 12, "direct", "profile_m_mean", 48, lag_steps, windows)
+
+
+register(
+    "J13_mixed_recursion",
+    shape("entity ts part", "id", "pred", 5),
+    _mixture,
+    f"""WITH RECURSIVE {HOURLY_CAL}, lagged AS (SELECT *, lag(target, 1) OVER w AS l1, lag(target, 24) OVER w AS l24 FROM cal {W}),
+      train AS (SELECT * FROM lagged WHERE ts < TIMESTAMP '{CUT}'),
+      upper AS (SELECT * FROM (SELECT *, quantile_cont(target, 0.8::DOUBLE) OVER (PARTITION BY entity) AS q FROM train) WHERE target >= q),
+      nm AS {ridge_sql("train", "entity", "l1", "target")}, sp AS {ridge_sql("upper", "entity", "l24", "target")},
+      dr AS {ridge_sql("train", "entity", "load_forecast", "target")},
+      ahead AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, id) AS place FROM cal WHERE ts >= TIMESTAMP '{CUT}'),
+      past AS (SELECT entity, list(target ORDER BY ts, id) AS h, avg(target) AS mean FROM train GROUP BY entity),
+      steps AS (SELECT entity, 0 AS place, h, CAST(NULL AS DOUBLE) AS pred FROM past
+        UNION ALL SELECT entity, place + 1, list_append(h, p), p FROM (SELECT s.entity, place, h,
+          0.85::DOUBLE * (nm.icept + nm.coef * coalesce(h[-1], nm.med)) + 0.15::DOUBLE * (sp.icept + sp.coef * coalesce(h[-24], sp.med)) AS p
+          FROM steps s JOIN nm USING (entity) JOIN sp USING (entity) WHERE place < 12))
+      SELECT a.entity, ts, id, CASE WHEN a.place <= 12 THEN 'near' WHEN a.place <= 60 THEN 'mid' ELSE 'far' END AS part,
+        CASE WHEN a.place <= 12 THEN s.pred WHEN a.place <= 60 THEN dr.icept + dr.coef * coalesce(load_forecast, dr.med) ELSE mean END AS pred
+      FROM ahead a JOIN dr USING (entity) JOIN past USING (entity) LEFT JOIN steps s ON s.entity = a.entity AND s.place = a.place""",
+)
+
+
+def _mixture_of_trees(s, d):
+    """A boosted model per entity, a forest of the upper tail over all entities, and a boosted gate."""
+    train, ahead, spec, lag_steps, windows = _ahead(s, d)
+    x = ["load_forecast", "hour", *M.history_features(lag_steps, windows)]
+    labelled = M.tail_labels(train, "upper", spec, 0.8)
+    models = R.Mixture(
+        grow(train, "entity", x, "target", spec, trees=10, depth=3),
+        M.fit_global(labelled.filter("tail_label = 1"), x, "target", "forest", spec, ["entity"], numTrees=10),
+        M.fit_gate(labelled, x, "tail_label", spec, "gbt", ["entity"], maxIter=5, maxDepth=3),
+    )
+    return R.recursive_mixture(train, ahead, models, spec, 12, "direct", "profile_m_mean", 48, lag_steps, windows)
+
+
+register("J13_mixed_trees", shape("entity ts part", "id", "pred", 5), _mixture_of_trees)
+
 # --- feature groups and importance ---------------------------------------------------------
 
 GROUPED = ["target", "load_forecast", "wind_forecast", "solar_forecast", "residual_load", "w1", "w2"]

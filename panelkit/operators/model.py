@@ -30,6 +30,7 @@ from panelkit.operators.window import rolling_pair_corr
 from panelkit.plans.gram import LIMIT, gram, pair_correlations, ridge_solution, square
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars, time_bucket
 from panelkit.plans.ranks import positions, quantiles
+from panelkit.plans.trees import GroupTrees, grow
 from panelkit.sources.io import materialize
 
 # --- linear fits ---------------------------------------------------------------------------
@@ -337,24 +338,18 @@ class LocalModels:
     x: list[str]
     spec: PanelSpec
     linear: DataFrame | None = None
-    trees: dict[str, GlobalModel] = field(default_factory=dict)
+    trees: GroupTrees | None = None
     residual: bool = False
     base: str = "global_pred"
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        """Local prediction, the global one for entities without a model. With ``residual`` the
+        """Local prediction, the global one for entities without a model, in one scan. With ``residual`` the
         local part is added to the global prediction."""
         e, base = self.spec.entity, F.col(self.base)
         if self.linear is not None:
             scored = predict_ridge(df, self.linear, [e], self.x, self.spec, "__local")
         else:
-            parts = [
-                m.predict(df.filter(F.col(e) == name), "__local") for name, m in self.trees.items()
-            ]
-            rest = df.filter(~truth(F.col(e).isin(*self.trees)))
-            scored = rest.withColumn("__local", F.lit(None).cast("double"))
-            for part in parts:
-                scored = scored.unionByName(part)
+            scored = df.withColumn("__local", self.trees.column(df.sparkSession, F.col(e)))
         local = F.col("__local") + base if self.residual else F.col("__local")
         return scored.withColumn(out, F.coalesce(local, base)).drop("__local")
 
@@ -371,19 +366,16 @@ def fit_local(
     alpha: float = 25.0,
     **params,
 ) -> LocalModels:
-    """Model per entity. Ridge fits every entity in one job; tree families fit the named
-    ``entities`` one after the other, each as a distributed fit."""
+    """Model per entity: ``ridge``, or ``gbt`` or ``forest`` grown by ``plans.trees.grow``. All entities (or
+    the named ones) are fitted in the same jobs."""
     cols = [*x, base]
+    if entities is not None:
+        df = df.filter(F.col(spec.entity).isin(*entities))
     if family == "ridge":
         table = materialize(grouped_ridge(df, [spec.entity], cols, y, spec, alpha))
         return LocalModels(cols, spec, linear=table, residual=residual, base=base)
-    if entities is None:
-        raise ValueError("tree families need the list of entities")
-    trees = {
-        name: fit_global(df.filter(F.col(spec.entity) == name), cols, y, family, spec, **params)
-        for name in entities
-    }
-    return LocalModels(cols, spec, trees=trees, residual=residual, base=base)
+    grown = grow(df, spec.entity, cols, y, spec, family, **params)
+    return LocalModels(cols, spec, trees=grown, residual=residual, base=base)
 
 
 # --- walk-forward --------------------------------------------------------------------------
