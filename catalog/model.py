@@ -11,6 +11,7 @@ from panelkit.functions.contract import wall_clock
 from panelkit.operators import folds as G
 from panelkit.operators import metrics as H
 from panelkit.operators import model as M
+from panelkit.operators import onepass as O
 from panelkit.operators import profile as P
 from panelkit.operators import recursion as R
 from panelkit.operators import window as Wn
@@ -213,35 +214,31 @@ def _oof_one(s, d):
     return M.walk_forward(df, _date_folds(df, spec), spec, fit_predict)
 
 
-register(
-    "J9_walk_forward_oof",
-    shape("entity ts", "id fold", "target pred", 5),
-    _oof_one,
-    f"""WITH {HOURLY_CAL}, x AS (SELECT *, lag(load_forecast, 24) OVER w AS lg FROM cal {W}),
+OOF = shape("entity ts", "id fold", "target pred", 5)
+OOF_SQL = f"""WITH {HOURLY_CAL}, x AS (SELECT *, lag(load_forecast, 24) OVER w AS lg FROM cal {W}),
       f AS (SELECT 3 - i AS fold, ((SELECT max(ts)::DATE FROM panel) - INTERVAL (4 * i) DAY)::TIMESTAMP AS ve,
         ((SELECT max(ts)::DATE FROM panel) - INTERVAL (4 * i + 4) DAY)::TIMESTAMP AS vs FROM range(3) AS r(i)),
       train AS (SELECT x.*, fold FROM x JOIN f ON ts < vs),
       m AS {ridge_sql("train", "entity, fold", "lg", "target")}
       SELECT entity, ts, id, fold, target, icept + coef * coalesce(lg, med) AS pred
-      FROM x JOIN f ON ts >= vs AND ts < ve JOIN m USING (entity, fold)""",
-)
+      FROM x JOIN f ON ts >= vs AND ts < ve JOIN m USING (entity, fold)"""
+register("J9_walk_forward_oof", OOF, _oof_one, OOF_SQL)
+
+
+def _one_pass(s, d):
+    df, spec = hourly(s, d)
+    df = Wn.lags(df, spec, ["load_forecast"], [24])
+    return O.walk_forward_ridge(df, _date_folds(df, spec), spec, ["load_forecast_lag_24"])
+
+
+register("J9_walk_forward_one_pass", OOF, _one_pass, OOF_SQL)
 
 
 def _walk_forward(s, d):
     """Features, splits, ridge and error table of the flagship query."""
     df, spec = features(s, d)
-    x = [*X, "w1_xmk_diff", "profile_mh_mean", "profile_m_mean"]
-
-    def fit_predict(train, val):
-        levels = {"mh": ["entity", "hour"], "m": ["entity"]}
-        for name, keys in levels.items():
-            table = P.profile(train, keys, f"profile_{name}")
-            train = P.join_table(train, table, keys, spec)
-            val = P.join_table(val, table, keys, spec)
-        fitted = M.grouped_ridge(train, ["entity"], x, "target", spec)
-        return M.predict_ridge(val, fitted, ["entity"], x, spec)
-
-    oof = M.walk_forward(df, _date_folds(df, spec, 3), spec, fit_predict)
+    profiles = {"profile_mh_mean": ["entity", "hour"], "profile_m_mean": ["entity"]}
+    oof = O.walk_forward_ridge(df, _date_folds(df, spec, 3), spec, [*X, "w1_xmk_diff"], profiles)
     return H.error_metrics(oof, spec, "entity")
 
 
