@@ -1,19 +1,34 @@
 """Correlation analytics between entities, features and prediction runs.
 
-Entities or runs are named by the caller. Each timestamp becomes one row with a column per
-name, and all pairs are then accumulated in one aggregate, so no pair rows are shuffled."""
+Entities or runs are named by the caller. Each timestamp becomes one row with a column per name. Few
+pairs are then built-in sums of one aggregate; more are matrix products on Arrow batches that a task
+adds up per group, so any number of pairs takes one pass and no pair rows are shuffled."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 from itertools import combinations, product
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.contract import as_list, safe_corr
-from panelkit.plans.layout import GroupBound, PanelSpec, row_frames
-from panelkit.plans.ranks import rank_pct
+from panelkit.functions.contract import as_list, null_if_nan, safe_corr
+from panelkit.plans.gram import pair_sums, pair_table
+from panelkit.plans.layout import GroupBound, PanelSpec
+from panelkit.plans.ranks import positions, rank_pct
+from panelkit.sources.io import materialize
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Up to this many pairs all sums are built-in ones in one aggregate.
+FEW_PAIRS = 60
+#: Rows of a group of the lead-lag products, and the sums each group sends per lag and name.
+LEAD_ROWS = 50_000
+LEAD_SUMS = ["n", "x", "y", "xx", "yy", "xy"]
 
 
 def wide_panel(
@@ -27,33 +42,36 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _same(name: str) -> str:
+    return name
+
+
 def _pair_rows(
     wide: DataFrame,
     by: Sequence[str],
     pairs: Sequence[tuple[str, str]],
-    x=_q,
-    y=_q,
+    x: Callable[[str], str] = _same,
+    y: Callable[[str], str] = _same,
     min_rows: int = 0,
 ) -> DataFrame:
-    """(by, a, b, n, corr) for pairs of columns, in one aggregate."""
+    """(by, a, b, n, corr) for pairs of names, whose columns ``x`` and ``y`` give, from one pass. NaN is
+    missing."""
+    if len(pairs) > FEW_PAIRS:
+        cols = list(dict.fromkeys([c for a, b in pairs for c in (x(a), y(b))]))
+        at = {c: i for i, c in enumerate(cols)}
+        return pair_table(materialize(wide), by, cols, [(a, b, at[x(a)], at[y(b)]) for a, b in pairs], min_rows)
     made = []
     for i, (a, b) in enumerate(pairs):
-        both = x(a).isNotNull() & y(b).isNotNull()
-        n, r = F.count_if(both), safe_corr(x(a), y(b))
+        u, v = null_if_nan(_q(x(a)).cast("double")), null_if_nan(_q(y(b)).cast("double"))
+        n, r = F.count_if(u.isNotNull() & v.isNotNull()), safe_corr(u, v)
         r = F.when(n >= min_rows, r) if min_rows else r
         made.append(
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), r.alias("corr")).alias(
                 f"__p{i}"
             )
         )
-    # Wide pair lists are accumulated in slices to keep generated code small.
-    out = None
-    for start in range(0, len(made), 60):
-        part = made[start : start + 60]
-        names = [f"__p{start + i}" for i in range(len(part))]
-        rows = wide.groupBy(*by).agg(*part).select(*by, F.inline(F.array(*names)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    names = [f"__p{i}" for i in range(len(made))]
+    return wide.groupBy(*by).agg(*made).select(*by, F.inline(F.array(*names)))
 
 
 def corr_matrix(
@@ -70,34 +88,50 @@ def corr_matrix(
         return _pair_rows(wide, [], pairs)
     if method != "spearman":
         raise ValueError(f"unknown method: {method}")
-    # Ranks are taken among the complete rows of each pair.
+    return _spearman(materialize(wide), spec, names, pairs)
+
+
+def _spearman(wide: DataFrame, spec: PanelSpec, names: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Ranks are taken among the complete rows of each pair. Those of a column depend only on where its
+    partner is missing, so a column is ranked once for all partners that it is never without, and once
+    for all others with gaps in the same places: one pass of ranks where nothing is missing."""
+    k = len(names)
+    row = pair_sums(wide, [], names).first()
+    n = np.asarray(row["sums"]).reshape(4, k, k)[0] if row and row["sums"] else np.zeros((k, k))
+    full = np.diag(n)
+    alike = [next(j for j in range(k) if full[j] == full[i] == n[i, j]) if full[i] else i for i in range(k)]
+
+    def series(i: int, j: int) -> tuple[int, int]:
+        """Column i ranked where column j is present too; i itself where that leaves nothing out."""
+        return (i, i) if n[i, j] == full[i] else (i, alike[j])
+
+    at = {name: i for i, name in enumerate(names)}
+    need = {(a, b): (series(at[a], at[b]), series(at[b], at[a])) for a, b in pairs}
+    every = list(dict.fromkeys(s for both in need.values() for s in both))
+    code = {s: f"__r{i}" for i, s in enumerate(every)}
     rows = F.array(
         *[
             F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), _q(a).alias("x"), _q(b).alias("y")
+                F.lit(c).alias("s"),
+                F.when(null_if_nan(_q(names[j]).cast("double")).isNotNull(), null_if_nan(_q(names[i]).cast("double"))).alias("v"),
             )
-            for a, b in pairs
+            for (i, j), c in code.items()
         ]
     )
-    long = wide.select(spec.ts, F.explode(rows).alias("__p")).select(spec.ts, "__p.*").dropna()
-    ranked = rank_pct(long, ["a", "b"], ["x", "y"], _per_pair(spec), "_rank")
-    return ranked.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), safe_corr("x_rank", "y_rank").alias("corr")
-    )
-
-
-def _per_pair(spec: PanelSpec) -> PanelSpec:
-    """Spec for (a, b, ts) rows: a pair has at most one row per row of the panel."""
+    long = wide.select(spec.ts, F.explode(rows).alias("__p")).select(spec.ts, "__p.*").dropna(subset=["v"])
     total = spec.bounds.get(())
-    bounds = {("a", "b"): GroupBound(0, total.total_rows, 0)} if total else {}
-    return PanelSpec(
-        entity="a",
-        ts=spec.ts,
-        id=spec.ts,
-        chunk_rows=spec.chunk_rows,
-        bucket_seconds=spec.bucket_seconds,
-        bounds=bounds,
+    plain = PanelSpec(
+        entity="s", ts=spec.ts, id=spec.ts, chunk_rows=spec.chunk_rows, bucket_seconds=spec.bucket_seconds,
+        bounds={("s",): GroupBound(0, total.total_rows, 0)} if total else {},
+    )
+    ranked = rank_pct(long, ["s"], ["v"], plain, "_rank")
+    ranks = ranked.groupBy(spec.ts).pivot("s", list(code.values())).agg(F.max("v_rank"))
+    coded = list(dict.fromkeys((code[u], code[v]) for u, v in need.values()))
+    found = _pair_rows(ranks, [], coded).withColumnsRenamed({"a": "__a", "b": "__b"})
+    label = wide.sparkSession.createDataFrame(
+        [(a, b, code[u], code[v]) for (a, b), (u, v) in need.items()], "a string, b string, __a string, __b string"
     )
+    return label.join(found, ["__a", "__b"]).select("a", "b", "n", "corr")
 
 
 def corr_by(
@@ -127,41 +161,47 @@ def lead_lag(
     value: str | None = None,
 ) -> DataFrame:
     """corr(anchor at t, other at t - lag) in timestamp positions, for every other entity."""
+    others, far = [n for n in names if n != anchor], max(abs(k) for k in lags)
     wide = wide_panel(df, spec, names, value)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(anchor).alias("a"),
-                F.lit(other).alias("b"),
-                _q(anchor).alias("x"),
-                _q(other).alias("y"),
-            )
-            for other in names
-            if other != anchor
-        ]
+    numbers = {f"__c{i}": null_if_nan(_q(n).cast("double")) for i, n in enumerate([anchor, *others])}
+    placed = materialize(positions(wide.select(spec.ts, *[c.alias(n) for n, c in numbers.items()]), [F.col(spec.ts)], "__pos"))
+    means = placed.agg(*[F.avg(c).alias(c) for c in numbers]).first()
+    centre = np.array([means[c] or 0.0 for c in numbers])
+    # A run of rows, and the rows before it that its lags reach, are one group.
+    size = max(min(spec.chunk_rows, LEAD_ROWS), far, 1)
+    run = F.floor(F.col("__pos") / size)
+    spread = placed.withColumn("__run", F.explode(F.sequence(run, F.floor((F.col("__pos") + far) / size))))
+    steps, columns = list(lags), list(numbers)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__pos")
+        x = pdf[columns].to_numpy(dtype=float, na_value=np.nan) - centre
+        own = np.flatnonzero(pdf["__pos"].to_numpy() // size == pdf["__run"].iloc[0])
+        out = []
+        for lag in steps:
+            here = own[own >= abs(lag)]
+            there = here - abs(lag)
+            # A negative lag of the other side is the same pairing as a positive lag of the anchor.
+            a, b = (x[here, :1], x[there, 1:]) if lag >= 0 else (x[there, :1], x[here, 1:])
+            both = ~np.isnan(a) & ~np.isnan(b)
+            u, v = np.where(both, a, 0.0), np.where(both, b, 0.0)
+            sums = [both.sum(0), u.sum(0), v.sum(0), (u * u).sum(0), (v * v).sum(0), (u * v).sum(0)]
+            out.append(pd.DataFrame(np.array(sums, float).T, columns=LEAD_SUMS).assign(lag=int(lag), b=range(len(others))))
+        return pd.concat(out)
+
+    sums = spread.groupBy("__run").applyInPandas(
+        products, ", ".join(f"{c} double" for c in LEAD_SUMS) + ", lag int, b int"
     )
-    long = wide.select(spec.ts, F.explode(rows).alias("__p")).select(spec.ts, "__p.*")
-    far = max(abs(k) for k in lags)
-    f = row_frames(long, _per_pair(spec), max(far, 1), ["a", "b"])
-
-    def back(c: str, k: int) -> Column:
-        return F.lag(c, k).over(f.window) if k else F.col(c)
-
-    # A negative lag of the other side is the same pairing as a positive lag of the anchor.
-    shifted = f.done(
-        f.df.withColumns(
-            {f"__x{k}": back("x", k) for k in range(far + 1)}
-            | {f"__y{k}": back("y", k) for k in range(far + 1)}
-        )
+    added = sums.groupBy("lag", "b").agg(*[F.sum(c).alias(c) for c in LEAD_SUMS])
+    n, c = F.col("n"), F.col
+    vx = F.try_divide(c("xx"), n) - F.pow(F.try_divide(c("x"), n), F.lit(2.0))
+    vy = F.try_divide(c("yy"), n) - F.pow(F.try_divide(c("y"), n), F.lit(2.0))
+    moving = (vx > 1e-12 * F.try_divide(c("xx"), n)) & (vy > 1e-12 * F.try_divide(c("yy"), n))
+    cross = F.try_divide(c("xy"), n) - F.try_divide(c("x"), n) * F.try_divide(c("y"), n)
+    name = F.array(*[F.lit(o) for o in others])
+    return added.select(
+        F.lit(anchor).alias("a"), F.get(name, "b").alias("b"), "lag", F.when(moving, cross / F.sqrt(vx * vy)).alias("corr")
     )
-    made = []
-    for i, k in enumerate(lags):
-        x, y = (F.col("x"), F.col(f"__y{k}")) if k >= 0 else (F.col(f"__x{-k}"), F.col("y"))
-        made.append(
-            F.struct(F.lit(k).alias("lag"), safe_corr(x, y).alias("corr")).alias(f"__l{i}")
-        )
-    out = shifted.groupBy("a", "b").agg(*made)
-    return out.select("a", "b", F.inline(F.array(*[f"__l{i}" for i in range(len(lags))])))
 
 
 def best_lag(table: DataFrame) -> DataFrame:
@@ -207,8 +247,8 @@ def coupling_strength(
         _by_feature(df, spec, names, cols, False),
         ["feature"],
         list(combinations(names, 2)),
-        x=lambda n: F.col(at[n]),
-        y=lambda n: F.col(at[n]),
+        x=lambda n: at[n],
+        y=lambda n: at[n],
     )
     return pairs.groupBy("feature").agg(
         F.avg("corr").alias("mean_corr"),
@@ -228,8 +268,8 @@ def feature_target_map(
         _by_feature(df, spec, names, cols, True),
         ["feature"],
         list(product(names, names)),
-        x=lambda n: F.col(f"f_{at[n]}"),
-        y=lambda n: F.col(f"t_{at[n]}"),
+        x=lambda n: f"f_{at[n]}",
+        y=lambda n: f"t_{at[n]}",
     )
 
 

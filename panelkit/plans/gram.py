@@ -109,44 +109,94 @@ def ridge_solution(
     return float(mean_y + my - coefs @ (shift + m)), coefs
 
 
-def pair_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pairwise-complete sums of ``cols`` as an array of shape (6, k, k): n, sum x, sum y,
-    sum xx, sum yy, sum xy, taken around the column means.
-
-    One pass of matrix products over Arrow batches; a task keeps six k x k matrices whatever
-    the number of rows it reads, and sends as many sums; only k x k sums reach the driver.
-    """
-    k = len(cols)
-    centre = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    mid = np.array([centre[c] if centre[c] is not None else 0.0 for c in cols], dtype=float)
-    names = list(cols)
+def pair_sums(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(by, sums): pairwise-complete sums of ``cols`` per group as four k x k matrices, row by row: the rows
+    where both are present, and the sums of x, of x x and of x y over them. NaN counts as missing.
+
+    Values are taken around the columns' means. One pass of matrix products over Arrow batches; a task keeps
+    four matrices per group whatever the number of rows it reads, and sends as many sums."""
+    by, k = list(by), len(cols)
+    quoted = [F.col(f"`{c}`").cast("double") for c in cols]
+    centre = df.agg(*[F.avg(F.when(~F.isnan(c), c)).alias(f"__{i}") for i, c in enumerate(quoted)]).first()
+    names = [f"__x{i}" for i in range(k)]
+    shifted = [(c - F.lit(float(centre[i] or 0.0))).alias(n) for i, (c, n) in enumerate(zip(quoted, names))]
+    flat = df.select(*by, *shifted)
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in flat.select(*by).schema)
+    limit = max(HELD_VALUES // (4 * k * k), 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((4, k, k))
+        held: dict[tuple, np.ndarray] = {} if by else {(): np.zeros(4 * k * k)}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([dict(zip(by, key)) for key in held], columns=by, index=range(len(held))).astype(object)
+            out["sums"] = list(held.values())
+            held.clear()
+            return out
+
         for batch in batches:
-            x = batch[names].to_numpy(dtype=float) - mid
-            seen = ~np.isnan(x)
-            x = np.where(seen, x, 0.0)
-            m = seen.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        flat = total.reshape(-1)
-        yield pd.DataFrame({"p": np.arange(flat.size), "v": flat})
-
-    flat = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    sums = flat.mapInPandas(partial, "p int, v double")
-    rows = sums.groupBy("p").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(4 * k * k)
-    out[rows["p"].to_numpy()] = rows["v"].to_numpy()
-    n, sx, sxx, sxy = out.reshape(4, k, k)
-    return np.stack([n, sx, sx.T, sxx, sxx.T, sxy])
+            groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
+            for key, part in groups:
+                x = part[names].to_numpy(dtype=float, na_value=np.nan)
+                m = (~np.isnan(x)).astype(float)
+                x = np.where(m > 0, x, 0.0)
+                made = np.concatenate([(m.T @ m).ravel(), (x.T @ m).ravel(), ((x * x).T @ m).ravel(), (x.T @ x).ravel()])
+                held[key] = held[key] + made if key in held else made
+            if len(held) >= limit:
+                yield flush()
+        if held:
+            yield flush()
 
+    added = (
+        flat.mapInPandas(partial, keys + "sums array<double>")
+        .select(*by, F.posexplode("sums").alias("__p", "__v"))
+        .groupBy(*by, "__p")
+        .agg(F.sum("__v").alias("__v"))
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("__p", "__v")))
+    return added.groupBy(*by).agg(F.transform(ordered, lambda x: x["__v"]).alias("sums"))
 
-def pair_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pairwise-complete Pearson matrix; NaN where a side is constant."""
-    n, sx, sy, sxx, syy, sxy = pair_moments(df, cols)
+
+def correlations(sums: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, correlation) of every pair from ``pair_sums``; NaN where a side is constant."""
+    n, sx, sxx, sxy = np.asarray(sums, float).reshape(4, k, k)
     with np.errstate(divide="ignore", invalid="ignore"):
-        cov = sxy / n - (sx / n) * (sy / n)
-        vx, vy = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+        mx, my = sx / n, sx.T / n
+        vx, vy = sxx / n - mx**2, sxx.T / n - my**2
         tiny = 1e-12
-        spread = np.sqrt(np.where((vx > tiny * (sxx / n)) & (vy > tiny * (syy / n)), vx * vy, np.nan))
-        return np.clip(cov / spread, -1.0, 1.0)
+        moving = (vx > tiny * (sxx / n)) & (vy > tiny * (sxx.T / n))
+        return n, (sxy / n - mx * my) / np.sqrt(np.where(moving, vx * vy, np.nan))
+
+
+def pair_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Pairwise-complete Pearson matrix; NaN where a side is constant. Only k x k sums reach the driver."""
+    k = len(cols)
+    row = pair_sums(df, [], cols).first()
+    if row is None or not row["sums"]:
+        return np.full((k, k), np.nan)
+    return np.clip(correlations(row["sums"], k)[1], -1.0, 1.0)
+
+
+def pair_table(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], wanted: Sequence[tuple[str, str, int, int]], min_rows: int = 0
+) -> DataFrame:
+    """(by, a, b, n, corr) for ``wanted`` (a, b, place of x, place of y in ``cols``), all pairs and groups from
+    one pass. NULL where a side is constant or fewer than ``min_rows`` rows have both."""
+    by, k = list(by), len(cols)
+    sums = pair_sums(df, by, cols)
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sums.select(*by).schema)
+    a, b = [w[0] for w in wanted], [w[1] for w in wanted]
+    x, y = np.array([w[2] for w in wanted]), np.array([w[3] for w in wanted])
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                n, r = correlations(row["sums"], k)
+                size, corr = n[x, y], r[x, y]
+                corr = np.where((size >= min_rows) & ~np.isnan(corr), corr, np.nan)
+                out = pd.DataFrame({"a": a, "b": b, "n": size.astype("int64")}).astype({"a": object, "b": object})
+                out["corr"] = pd.Series([None if np.isnan(v) else float(v) for v in corr], dtype=object)
+                for i, name in enumerate(by):
+                    out.insert(i, name, pd.Series([row[name]] * len(out), dtype=object))
+                yield out
+
+    return sums.mapInPandas(pairs, keys + "a string, b string, n bigint, corr double")
