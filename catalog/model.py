@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from catalog.common import HOURLY_CAL, PREDS, register, shape
+from catalog.linear_sql import ridge_ctes, score
 from catalog.metrics import preds
 from catalog.profile import CUT, split
-from catalog.window import EVENT_TYPES, W, WIDE, hourly, pair_corr_sql
+from catalog.window import EVENT_TYPES, W, WIDE, hourly, pair_corr_sql, roll
 from panelkit.functions import scalar as S
 from panelkit.functions.contract import wall_clock
 from panelkit.operators import folds as G
@@ -68,7 +69,20 @@ def _ridge(s, d):
     return M.predict_ridge(df, table, ["entity"], X, spec)
 
 
-register("J1_grouped_ridge", shape("entity ts", "", "target pred"), _ridge)
+# The columns of ``features`` under the names of X.
+FEATURES = f"""{HOURLY_CAL}, feat AS (SELECT *, lag(load_forecast, 1) OVER w AS load_forecast_lag_1,
+    lag(load_forecast, 24) OVER w AS load_forecast_lag_24, w1 - avg(w1) OVER (PARTITION BY ts) AS w1_xmk_diff,
+    avg(target) OVER (PARTITION BY entity ORDER BY ts, id ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS target_roll_mean_24
+  FROM cal {W})"""
+TRAIN = f"train AS (SELECT * FROM feat WHERE ts < TIMESTAMP '{CUT}')"
+TEST = f"ts >= TIMESTAMP '{CUT}'"
+register(
+    "J1_grouped_ridge",
+    shape("entity ts", "", "target pred", 5),
+    _ridge,
+    f"""WITH RECURSIVE {FEATURES}, {TRAIN}, {ridge_ctes("m", "train", "entity", X, "target")}
+      SELECT entity, ts, target, {score(X)} AS pred FROM feat JOIN m USING (entity)""",
+)
 
 
 def _stack(s, d):
@@ -242,10 +256,25 @@ def _walk_forward(s, d):
     return H.error_metrics(oof, spec, "entity")
 
 
+FLAGSHIP = [*X, "w1_xmk_diff", "profile_mh_mean", "profile_m_mean"]
 register(
     "J9_walk_forward_errors",
-    shape("entity", "n", "rmse mae bias p90_abs_error p95_abs_error"),
+    shape("entity", "n", "rmse mae bias p90_abs_error p95_abs_error", 5),
     _walk_forward,
+    f"""WITH RECURSIVE {FEATURES},
+      f AS (SELECT 3 - i AS fold, ((SELECT max(ts)::DATE FROM panel) - INTERVAL (4 * i) DAY)::TIMESTAMP AS ve,
+        ((SELECT max(ts)::DATE FROM panel) - INTERVAL (4 * i + 4) DAY)::TIMESTAMP AS vs FROM range(3) AS r(i)),
+      early AS (SELECT feat.*, fold FROM feat JOIN f ON ts < vs),
+      mh AS (SELECT entity, hour, fold, avg(target) AS profile_mh_mean FROM early GROUP BY ALL),
+      me AS (SELECT entity, fold, avg(target) AS profile_m_mean FROM early GROUP BY ALL),
+      train AS (SELECT * FROM early JOIN mh USING (entity, hour, fold) JOIN me USING (entity, fold)),
+      {ridge_ctes("m", "train", "entity, fold", FLAGSHIP, "target")},
+      val AS (SELECT feat.*, fold, profile_mh_mean, profile_m_mean FROM feat JOIN f ON ts >= vs AND ts < ve
+        LEFT JOIN mh USING (entity, hour, fold) LEFT JOIN me USING (entity, fold)),
+      e AS (SELECT entity, {score(FLAGSHIP)} - target AS err FROM val JOIN m USING (entity, fold))
+      SELECT entity, count(*) AS n, sqrt(avg(err * err)) AS rmse, avg(abs(err)) AS mae, avg(err) AS bias,
+        quantile_cont(abs(err), 0.9::DOUBLE) AS p90_abs_error, quantile_cont(abs(err), 0.95::DOUBLE) AS p95_abs_error
+      FROM e GROUP BY entity""",
 )
 
 # --- tails, gates, uplift ------------------------------------------------------------------
@@ -341,7 +370,35 @@ def _recursive(s, d):
     )
 
 
-register("J13_recursive_forecast", shape("entity ts", "id", "pred"), _recursive)
+def _history_sql(h: str) -> list[str]:
+    """The history features of ``_recursive`` from a list of past values."""
+    out = [f"{h}[-{k}]" for k in (1, 2, 24)]
+    for n in (24, 48):
+        tail = f"{h}[-{n}:]"
+        out += [f"list_avg({tail})", f"CASE WHEN len({tail}) > 1 THEN list_stddev_samp({tail}) WHEN len({tail}) = 1 THEN 0 END"]
+    return out
+
+
+_FED = ["load_forecast", "hour", "l1", "l2", "l24", "rm24", "rs24", "rm48", "rs48"]
+register(
+    "J13_recursive_forecast",
+    shape("entity ts", "id", "pred", 5),
+    _recursive,
+    f"""WITH RECURSIVE {HOURLY_CAL}, lagged AS (SELECT *, lag(target, 1) OVER w AS l1, lag(target, 2) OVER w AS l2,
+        lag(target, 24) OVER w AS l24, {roll("target", 24, "mean", 1)} AS rm24, {roll("target", 24, "std", 2)} AS rs24,
+        {roll("target", 48, "mean", 1)} AS rm48, {roll("target", 48, "std", 2)} AS rs48 FROM cal {W}),
+      train AS (SELECT * FROM lagged WHERE ts < TIMESTAMP '{CUT}'),
+      {ridge_ctes("m", "train", "entity", _FED, "target")}, {ridge_ctes("dr", "train", "entity", ["load_forecast", "hour"], "target")},
+      ahead AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, id) AS place FROM cal WHERE {TEST}),
+      past AS (SELECT entity, list(target ORDER BY ts, id) AS h FROM train GROUP BY entity),
+      steps AS (SELECT entity, CAST(0 AS BIGINT) AS place, h, CAST(NULL AS DOUBLE) AS pred FROM past
+        UNION ALL SELECT entity, place, list_append(h, p), p FROM (
+          SELECT a.entity, a.place, h, {score(["load_forecast", "hour", *_history_sql("h")], "m")} AS p
+          FROM steps s JOIN ahead a ON a.entity = s.entity AND a.place = s.place + 1 JOIN m ON m.entity = s.entity
+          WHERE s.place < 12))
+      SELECT a.entity, ts, id, CASE WHEN a.place <= 12 THEN s.pred ELSE {score(["load_forecast", "hour"], "dr")} END AS pred
+      FROM ahead a JOIN dr USING (entity) LEFT JOIN steps s ON s.entity = a.entity AND s.place = a.place""",
+)
 
 
 def _ridge_on(rows, x, spec):
@@ -531,4 +588,15 @@ def _hour_experts(s, d):
     return M.apply_hour_experts(df, table, X, spec, "base", 60, 0.5)
 
 
-register("J19_hour_experts", shape("entity ts hour_regime", "", "target pred"), _hour_experts)
+register(
+    "J19_hour_experts",
+    shape("entity ts hour_regime", "", "target pred", 5),
+    _hour_experts,
+    f"""WITH RECURSIVE {FEATURES}, r AS (SELECT *, target - 50.0::DOUBLE AS rest, CASE WHEN hour <= 5 THEN 'night_00_05'
+        WHEN hour <= 10 THEN 'morning_06_10' WHEN hour <= 16 THEN 'day_11_16' WHEN hour <= 20 THEN 'peak_17_20'
+        ELSE 'late_21_23' END AS hour_regime FROM feat),
+      train AS (SELECT * FROM r WHERE ts < TIMESTAMP '{CUT}'),
+      {ridge_ctes("m", "train", "entity, hour_regime", X, "rest", least=60)}
+      SELECT r.entity, ts, r.hour_regime, target, 50.0::DOUBLE + coalesce(0.5::DOUBLE * n / (n + 60.0::DOUBLE) * ({score(X)}), 0) AS pred
+      FROM r LEFT JOIN m USING (entity, hour_regime)""",
+)

@@ -6,7 +6,8 @@ single long entity is spread over many tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from panelkit.plans.layout import Frames, PanelSpec, attach, row_frames, running
 from panelkit.plans.ranks import rank_pct
 
 AGGS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-# Above this length a mean / std frame is put together from blocks instead of re-aggregation.
+# Above this length a frame is put together from blocks instead of re-aggregation.
 LONG_FRAME = 168
 
 
@@ -63,63 +64,109 @@ def rolling(
     elif min_periods:
         need |= dict(min_periods)
     f = row_frames(df, spec, max(windows))
-    short = [n for n in windows if n <= LONG_FRAME]
-    long = [n for n in windows if n > LONG_FRAME]
     out = f.df.withColumns(
         {
             f"{c}_roll_{fn}_{n}": _guarded(f, c, n, fn, need[fn])
             for c in cols
-            for n in (windows if set(fns) & {"min", "max"} else short)
+            for n in windows
+            if n <= LONG_FRAME
             for fn in fns
-            if n in short or fn in ("min", "max")
         }
     )
-    for c in cols:
-        if long:
-            out = long_rolling(
-                out, f, c, {n: {fn: need[fn] for fn in fns if fn in need} for n in long}
-            )
-    return f.done(out)
+    long = {n: {fn: need[fn] for fn in fns} for n in windows if n > LONG_FRAME}
+    return f.done(long_rolling(out, f, dict.fromkeys(cols, long)) if long else out)
 
 
-def long_rolling(
-    df: DataFrame, f: Frames, c: str, frames: Mapping[int, Mapping[str, int]]
-) -> DataFrame:
-    """Mean / std of long frames, in about 2 log2(n) steps a row for frames of n rows.
+Frame = Mapping[int, Mapping[str, int]]
+
 
-    The (count, mean, squared deviations) of the 1, 2, 4, ... rows up to each row come from those of
-    half as many, and a frame is put together from the blocks that its length in binary names.
-    Nothing is subtracted, so what lies outside a frame leaves no trace in it. ``frames`` maps n to
-    {"mean": min_periods, "std": min_periods}."""
+def long_rolling(df: DataFrame, f: Frames, wanted: Mapping[str, Frame]) -> DataFrame:
+    """Mean, std, min and max of long frames, in steps that grow with log2(n) for frames of n rows.
+
+    ``wanted`` maps a column to {n: {function: min_periods}}. What the 1, 2, 4, ... rows up to each row hold comes
+    from what half as many hold, for all columns in one step a level. A mean or std is put together from the blocks that n
+    in binary names; a min or max from two blocks that overlap. Nothing is subtracted, so what
+    lies outside a frame leaves no trace in it."""
+    series, joined, counts = {}, {}, {}
+    for i, (c, frames) in enumerate(wanted.items()):
+        v = F.col(c)
+        fns = {n: set(some) for n, some in frames.items()}
+        if moments := [n for n, some in fns.items() if some & {"mean", "std"}]:
+            present = F.when(v.isNull(), 0).otherwise(1).cast("long")
+            series[f"__m{i}"] = Blocks(
+                _moments(present, F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0)), _combined, moments
+            )
+        for fn, pick in (("min", F.least), ("max", F.greatest)):
+            if some := [n for n, have in fns.items() if fn in have]:
+                series[f"__{fn}{i}"] = Blocks(v, pick, some, overlap=True)
+                counts |= {(c, n): f"__n{i}_{n}" for n in some}
+        joined[c] = i
+    df, at, made = blocks(df, f, series)
+    # Whole numbers are the one thing that may be subtracted.
+    before = f.window.rowsBetween(W.unboundedPreceding, -1)
+    running = {f"__n{joined[c]}": F.count(c).over(before) for c in {c for c, _ in counts}}
+    df = df.withColumns(running)
+    df = df.withColumns(
+        {
+            name: F.col(f"__n{joined[c]}") - F.coalesce(F.lag(f"__n{joined[c]}", n).over(f.window), F.lit(0))
+            for (c, n), name in counts.items()
+        }
+    )
+    out = {}
+    for c, frames in wanted.items():
+        i = joined[c]
+        for n, fns in frames.items():
+            for fn, need in fns.items():
+                if fn in ("min", "max"):
+                    value, count, least = F.col(at[f"__{fn}{i}", n]), F.col(counts[c, n]), 1
+                else:
+                    total = F.col(at[f"__m{i}", n])
+                    count, least = F.coalesce(total["n"], F.lit(0)), 1 if fn == "mean" else 2
+                    value = total["mean"] if fn == "mean" else F.sqrt(total["dev"] / (count - 1))
+                out[f"{c}_roll_{fn}_{n}"] = F.when((count >= need) & (count >= least), value)
+    return df.withColumns(out).drop(*made, *running, *counts.values())
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """What one row holds, how two neighbouring blocks (the later one first) join, and the frame lengths
+    wanted. ``overlap``: a row may be counted twice."""
+
+    row: Column
+    join: Callable[[Column, Column], Column]
+    frames: Sequence[int]
+    overlap: bool = False
+
+
+def blocks(
+    df: DataFrame, f: Frames, series: Mapping[str, Blocks], first: int = 1
+) -> tuple[DataFrame, dict[tuple[str, int], str], list[str]]:
+    """Columns with the joined blocks of the n rows that end ``first`` rows before each row, for every series
+    and frame length; where they are; and all columns made. A frame before the first row is NULL."""
     window = f.window
-    v = F.col(c).cast("double")
-    present = F.when(v.isNull(), 0).otherwise(1).cast("long")
-    df = df.withColumn("__k0", _moments(present, F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
-    made, longest = ["__k0"], max(frames).bit_length()
-    past: dict[int, str | None] = dict.fromkeys(frames)  # column of the part of the frame so far
-    for k in range(longest):
-        half, out = f"__k{k}", {}
-        for n in frames:
-            if n >> k & 1:
-                at = n & ((1 << k) - 1)
-                piece = F.lag(half, at + 1).over(window)
-                out[f"__f{n}_{k}"] = piece if past[n] is None else _combined(F.col(past[n]), piece)
-                past[n] = f"__f{n}_{k}"
-        if k + 1 < longest:
-            out[f"__k{k + 1}"] = _combined(F.col(half), F.lag(half, 1 << k).over(window))
+    df = df.withColumns({f"{name}_0": b.row for name, b in series.items()})
+    made = [f"{name}_0" for name in series]
+    at: dict[tuple[str, int], str] = {}
+    for k in range(max((n for b in series.values() for n in b.frames), default=0).bit_length()):
+        out = {}
+        for name, b in series.items():
+            half = f"{name}_{k}"
+            for n in b.frames:
+                top = n.bit_length() - 1
+                if b.overlap and k == top:
+                    late, early = F.lag(half, first).over(window) if first else F.col(half), F.lag(half, n - (1 << k) + first)
+                    out[f"{name}_f{n}"] = b.join(late, early.over(window)) if n != 1 << k else late
+                    at[name, n] = f"{name}_f{n}"
+                elif not b.overlap and n >> k & 1:
+                    back = (n & ((1 << k) - 1)) + first
+                    piece = F.lag(half, back).over(window) if back else F.col(half)
+                    out[f"{name}_f{n}_{k}"] = b.join(F.col(at[name, n]), piece) if (name, n) in at else piece
+                    at[name, n] = f"{name}_f{n}_{k}"
+            if any(n >> (k + 1) for n in b.frames):
+                out[f"{name}_{k + 1}"] = b.join(F.col(half), F.lag(half, 1 << k).over(window))
         df = df.withColumns(out)
         made += out
-    out = {}
-    for n, fns in frames.items():
-        total = F.col(past[n])
-        count = F.coalesce(total["n"], F.lit(0))
-        if "mean" in fns:
-            out[f"{c}_roll_mean_{n}"] = F.when((count >= fns["mean"]) & (count >= 1), total["mean"])
-        if "std" in fns:
-            out[f"{c}_roll_std_{n}"] = F.when(
-                (count >= fns["std"]) & (count >= 2), F.sqrt(total["dev"] / (count - 1))
-            )
-    return df.withColumns(out).drop(*made)
+    return df, at, made
 
 
 def _moments(n: Column, mean: Column, dev: Column) -> Column:
@@ -134,6 +181,23 @@ def _combined(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | (a["n"] == 0), b).when(b.isNull() | (b["n"] == 0), a).otherwise(both)
 
 
+def _pair_moments(n, x, y, xx, yy, xy) -> Column:
+    parts = {"n": n, "x": x, "y": y, "xx": xx, "yy": yy, "xy": xy}
+    return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+
+def _pair_combined(a: Column, b: Column) -> Column:
+    """Means and products of deviations of two sets of pairs together; NULL is no pairs."""
+    n = a["n"] + b["n"]
+    gx, gy, share = b["x"] - a["x"], b["y"] - a["y"], b["n"] / n
+    weight = share * a["n"]
+    both = _pair_moments(
+        n, a["x"] + gx * share, a["y"] + gy * share,
+        a["xx"] + b["xx"] + gx * gx * weight, a["yy"] + b["yy"] + gy * gy * weight, a["xy"] + b["xy"] + gx * gy * weight,
+    )
+    return F.when(a.isNull() | (a["n"] == 0), b).when(b.isNull() | (b["n"] == 0), a).otherwise(both)
+
+
 def anomaly(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> DataFrame:
     """Distance to the previous 24- and 168-row mean, and z on 168 rows."""
     f = row_frames(df, spec, 168)
@@ -154,21 +218,20 @@ def volatility(
     out = f.df.withColumns(
         {f"{c}_absdiff_1": F.abs(F.col(c) - F.lag(c, 1).over(f.window)) for c in cols}
     )
+    long = {f"{c}_absdiff_1": {month: {"mean": 48, "std": 48}} for c in cols}
+    out = out.withColumns({f"{c}_vol_7d": _guarded(f, f"{c}_absdiff_1", week, "mean", 24) for c in cols})
+    out = long_rolling(out, f, long)
+    made = {}
     for c in cols:
-        a = f"{c}_absdiff_1"
-        out = out.withColumn(f"{c}_vol_7d", _guarded(f, a, week, "mean", 24))
-        out = long_rolling(out, f, a, {month: {"mean": 48, "std": 48}})
-        v7, v28, s28 = F.col(f"{c}_vol_7d"), F.col(f"{a}_roll_mean_{month}"), F.col(
-            f"{a}_roll_std_{month}"
-        )
-        out = out.withColumns(
-            {
-                f"{c}_vol_28d": v28,
-                f"{c}_vol_ratio_7d_28d": ratio(v7, v28),
-                f"{c}_vol_z_7d_28d": ratio(v7 - v28, s28),
-                f"{c}_vol_regime_high": flag(ratio(v7, v28) > 1.15),
-            }
-        ).drop(f"{a}_roll_mean_{month}", f"{a}_roll_std_{month}")
+        v7 = F.col(f"{c}_vol_7d")
+        v28, s28 = (F.col(f"{c}_absdiff_1_roll_{fn}_{month}") for fn in ("mean", "std"))
+        made |= {
+            f"{c}_vol_28d": v28,
+            f"{c}_vol_ratio_7d_28d": ratio(v7, v28),
+            f"{c}_vol_z_7d_28d": ratio(v7 - v28, s28),
+            f"{c}_vol_regime_high": flag(ratio(v7, v28) > 1.15),
+        }
+    out = out.withColumns(made).drop(*[f"{a}_roll_{fn}_{month}" for a in long for fn in ("mean", "std")])
     return f.done(out)
 
 
@@ -188,7 +251,7 @@ def slow_state(
         }
     )
     long = {n: {"mean": need[n], "std": need[n]} for n in windows if n > LONG_FRAME}
-    return f.done(long_rolling(out, f, c, long) if long else out)
+    return f.done(long_rolling(out, f, {c: long}) if long else out)
 
 
 def transition(df: DataFrame, spec: PanelSpec, c: str = "residual_load") -> DataFrame:
@@ -347,7 +410,7 @@ def residual_rolling(df: DataFrame, spec: PanelSpec, c: str = "residual_load") -
             f"{c}_delta_24": F.col(c) - day,
         }
     )
-    out = long_rolling(out, f, c, {720: {"mean": 24}}).withColumnRenamed(
+    out = long_rolling(out, f, {c: {720: {"mean": 24}}}).withColumnRenamed(
         f"{c}_roll_mean_720", f"{c}_rollmean_30d"
     )
     return f.done(out.withColumn(f"{c}_vs_30d", F.col(c) - F.col(f"{c}_rollmean_30d")))
@@ -401,13 +464,24 @@ def rolling_pair_corr(
     )
     f = row_frames(long, plain, n + 1, ["a", "b"])
     last = 1 if shift else 0
-    frame = f.window.rowsBetween(-(n - 1 + last), -last)
     x, y = F.col("x"), F.col("y")
-    cov = F.covar_samp(x, y).over(frame)
-    spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
-    enough = F.count(x).over(frame) >= max(min_periods, 2)
-    corr = F.when(enough, clip(F.try_divide(cov, spread), -1.0, 1.0))
-    return f.done(f.df.withColumn("corr", corr)).select("a", "b", spec.ts, "corr")
+    least = max(min_periods, 2)
+    if n > LONG_FRAME:
+        present = F.when(x.isNull(), 0).otherwise(1).cast("long")
+        zero = F.lit(0.0)
+        row = _pair_moments(present, F.coalesce(x.cast("double"), zero), F.coalesce(y.cast("double"), zero), zero, zero, zero)
+        df, at, made = blocks(f.df, f, {"__p": Blocks(row, _pair_combined, [n])}, last)
+        total = F.col(at["__p", n])
+        enough = F.coalesce(total["n"], F.lit(0)) >= least
+        corr = F.try_divide(total["xy"], F.sqrt(total["xx"]) * F.sqrt(total["yy"]))
+        out = df.withColumn("corr", F.when(enough, clip(corr, -1.0, 1.0))).drop(*made)
+    else:
+        frame = f.window.rowsBetween(-(n - 1 + last), -last)
+        cov = F.covar_samp(x, y).over(frame)
+        spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
+        enough = F.count(x).over(frame) >= least
+        out = f.df.withColumn("corr", F.when(enough, clip(F.try_divide(cov, spread), -1.0, 1.0)))
+    return f.done(out).select("a", "b", spec.ts, "corr")
 
 
 def _distinct_ts_bound(spec: PanelSpec):

@@ -92,11 +92,31 @@ def test_long_frames(data, spread):
         same(op(spread), op(small), KEY, 1e-6)
 
 
-def test_prefix_sums_equal_direct_frames(data, monkeypatch):
+def test_blocks_equal_direct_frames(data, spread, monkeypatch):
     df, small = data
-    direct = window.rolling(df, small, ["x", "target"], [24, 50])
+    every, need = ("mean", "std", "min", "max"), {"min": 3, "max": 20}
+    frames = [11, 16, 17, 24, 31, 50]
+    direct = window.rolling(df, small, ["x", "target"], frames, every, need)
+    pairs = {shift: window.rolling_pair_corr(df, small, [("a", "b"), ("a", "c")], 40, 5, shift) for shift in (True, False)}
     monkeypatch.setattr(window, "LONG_FRAME", 10)
-    same(window.rolling(df, small, ["x", "target"], [24, 50]), direct, KEY, 1e-7)
+    for spec in (small, spread):
+        same(window.rolling(df, spec, ["x", "target"], frames, every, need), direct, KEY, 1e-7)
+        for shift, want in pairs.items():
+            same(window.rolling_pair_corr(df, spec, [("a", "b"), ("a", "c")], 40, 5, shift), want, ["a", "b", "ts"], 1e-7)
+
+
+def test_long_min_and_max_and_constant_stretches(spark):
+    """A spike leaves a frame without a trace, and a constant side has no correlation."""
+    rows = [(e, i, float(i % 7 if e == "a" else 5.0) + (1e9 if i == 3 else 0.0)) for e in "ab" for i in range(900)]
+    df = spark.createDataFrame(rows, "entity string, id long, target double")
+    df = df.withColumn("ts", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))))
+    spec = PanelSpec().measured(df)
+    out = window.rolling(df, spec, ["target"], [720], ["min", "max", "std"]).filter("id = 800").collect()
+    got = {r.entity: (r.target_roll_min_720, r.target_roll_max_720, r.target_roll_std_720) for r in out}
+    assert got["b"] == (5.0, 5.0, 0.0) and got["a"][:2] == (0.0, 6.0) and abs(got["a"][2] - 2.0) < 0.01
+    corr = {r.ts: r["corr"] for r in window.rolling_pair_corr(df, spec, [("a", "b")], 720, 5).collect()}
+    late = [corr[t] for t in sorted(corr)]
+    assert late[700] == pytest.approx(1.0) and late[800] is None and len(late) == 900
 
 
 def test_expanding(data, spread):
