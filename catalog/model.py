@@ -1,5 +1,8 @@
 """Queries for model fits. Those without SQL are checked by brute force in the tests."""
 
+import zlib
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from catalog.common import HOURLY_CAL, PREDS, register, shape
@@ -137,10 +140,25 @@ def _prune(s, d):
     return M.corr_prune(df, ["p1", "p2", "p3", "p4", "p5"], 0.9)[1]
 
 
+_FIVE = [f"p{i}" for i in range(1, 6)]
 register(
     "J4_corr_prune",
     shape("dropped kept", "step", "pair_corr rmse_dropped rmse_kept"),
     _prune,
+    f"""WITH RECURSIVE {PREDS}, x AS (SELECT *, p1 * 2.0::DOUBLE + 1.0::DOUBLE AS p4, p3 + 0.01::DOUBLE * p2 AS p5 FROM pe),
+      err AS (SELECT * FROM (SELECT {", ".join(f"sqrt(avg(({p} - target) ** 2)) AS {p}" for p in _FIVE)} FROM x)
+        UNPIVOT (e FOR m IN ({", ".join(_FIVE)}))),
+      pairs AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM x" for a, b in combinations(_FIVE, 2))}),
+      strong AS (SELECT *, row_number() OVER (ORDER BY r DESC, a, b) AS place FROM (
+        SELECT r, CASE WHEN ea.e > eb.e THEN a ELSE b END AS dropped, CASE WHEN ea.e > eb.e THEN b ELSE a END AS kept, a, b,
+          greatest(ea.e, eb.e) AS worse, least(ea.e, eb.e) AS better
+        FROM pairs JOIN err ea ON ea.m = a JOIN err eb ON eb.m = b WHERE r > 0.9)),
+      walk AS (SELECT CAST(0 AS BIGINT) AS place, []::VARCHAR[] AS gone, CAST(0 AS BIGINT) AS step, FALSE AS hit UNION ALL
+        SELECT s.place, CASE WHEN free THEN list_append(gone, dropped) ELSE gone END, step + free::BIGINT, free
+        FROM (SELECT s.*, w.gone, w.step, NOT list_contains(w.gone, s.a) AND NOT list_contains(w.gone, s.b) AS free
+          FROM walk w JOIN strong s ON s.place = w.place + 1) s)
+      SELECT dropped, kept, step, r AS pair_corr, worse AS rmse_dropped, better AS rmse_kept
+      FROM walk JOIN strong USING (place) WHERE hit""",
 )
 
 # --- global and local models ---------------------------------------------------------------
@@ -492,15 +510,32 @@ def _permutation(s, d):
     def predict(rows):
         return M.predict_ridge(rows, table, ["entity"], X, spec)
 
-    groups = {"load": ["load_forecast"], "lags": X[:2], "unused": ["w2"]}
-    return M.permutation_importance(test_part(df), predict, groups, spec)
+    return M.permutation_importance(test_part(df), predict, PERMUTED, spec)
 
 
-register(
-    "J15_permutation_importance",
-    shape("name", "fold group_size n_val_rows", "baseline_rmse rmse_permuted delta"),
-    _permutation,
-)
+def _ridge_importance(s, d):
+    df, spec = features(s, d)
+    table = materialize(M.grouped_ridge(split(df), ["entity"], X, "target", spec))
+    return M.ridge_importance(test_part(df), table, ["entity"], X, PERMUTED, spec)
+
+
+PERMUTED = {"load": ["load_forecast"], "lags": X[:2], "unused": ["w2"]}
+_swapped = {
+    name: [f"coalesce({'s' if c in cols else 'v'}.{c}, fills[{i}])" for i, c in enumerate(X, 1)]
+    for name, cols in {"": [], **PERMUTED}.items()
+}
+PERMUTED_SHAPE = shape("name", "fold group_size n_val_rows", "baseline_rmse rmse_permuted delta", 5)
+PERMUTED_SQL = f"""WITH RECURSIVE {FEATURES}, {TRAIN}, {ridge_ctes("m", "train", "entity", X, "target")},
+  v AS (SELECT *, row_number() OVER (ORDER BY md5(id || ':42'), id) - 1 AS pos, count(*) OVER () AS n FROM feat WHERE {TEST}),
+  g(name, size, hash) AS (VALUES {", ".join(f"('{n}', {len(c)}, {zlib.crc32(f'42/1/{n}'.encode())})" for n, c in PERMUTED.items())}),
+  e AS (SELECT g.name, size, v.target, CASE g.name {" ".join(f"WHEN '{n}' THEN icept + " + " + ".join(f"coefs[{i}] * {c}" for i, c in enumerate(_swapped[n], 1)) for n in PERMUTED)} END AS p,
+      icept + {" + ".join(f"coefs[{i}] * {c}" for i, c in enumerate(_swapped[""], 1))} AS base
+    FROM v JOIN g ON TRUE JOIN v s ON s.pos = (v.pos + 1 + hash % (v.n - 1)) % v.n JOIN m ON m.entity = v.entity)
+  SELECT name, 1 AS fold, any_value(size) AS group_size, count(*) AS n_val_rows, sqrt(avg((base - target) ** 2)) AS baseline_rmse,
+    sqrt(avg((p - target) ** 2)) AS rmse_permuted, sqrt(avg((p - target) ** 2)) - sqrt(avg((base - target) ** 2)) AS delta
+  FROM e GROUP BY name"""
+register("J15_permutation_importance", PERMUTED_SHAPE, _permutation, PERMUTED_SQL)
+register("J15_ridge_importance", PERMUTED_SHAPE, _ridge_importance, PERMUTED_SQL)
 
 
 def _summary(s, d):

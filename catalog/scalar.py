@@ -415,3 +415,34 @@ register(
       SELECT id, lam AS "lambda", z, y AS back FROM z
       WHERE lam = (SELECT arg_max(lam, ll) FROM ll)""",
 )
+
+
+def _yeo_johnson_fitted(s, d):
+    df = panels.events(s, d).select("id", (F.col("target") - 20.0).alias("y"))
+    lam = S.fit_yeo_johnson(df, "y", tol=1e-4)
+    return df.withColumn("z", S.yeo_johnson("y", lam)).withColumn("lambda", F.lit(lam))
+
+
+def _rounds(n: int) -> str:
+    """Rounds of probes around the best value so far, each a sixteenth of the width before."""
+    z = """CASE WHEN y >= 0 AND abs(lam) < 1e-9 THEN ln(1 + y) WHEN y >= 0 THEN ((y + 1) ** lam - 1) / lam
+          WHEN abs(2 - lam) < 1e-9 THEN -ln(1 - y) ELSE -((1 - y) ** (2 - lam) - 1) / (2 - lam) END"""
+    out = []
+    for i in range(n + 1):
+        probes = (
+            "SELECT i / 10.0::DOUBLE AS lam FROM range(-20, 41) AS r(i)" if i == 0
+            else f"SELECT best - {0.1 / 8 ** (i - 1)!r}::DOUBLE + {0.2 / 16 / 8 ** (i - 1)!r}::DOUBLE * i AS lam FROM b{i - 1}, range(17) AS r(i)"
+        )
+        out.append(f"""p{i} AS ({probes}), b{i} AS (SELECT arg_max(lam, ll) AS best FROM (
+          SELECT lam, -count(*) / 2.0::DOUBLE * ln(var_pop({z})) + (lam - 1) * sum(sign(y) * ln(1 + abs(y))) AS ll
+          FROM t, p{i} GROUP BY lam))""")
+    return ",\n      ".join(out) + f",\n      last AS (SELECT id, best AS lam, y FROM t, b{n}), z AS (SELECT id, lam, {z} AS z FROM last)"
+
+
+register(
+    "C19_yeo_johnson_fitted",
+    shape("id", "", "lambda z", 4),
+    _yeo_johnson_fitted,
+    f"""WITH t AS (SELECT event_id AS id, value - 20.0::DOUBLE AS y FROM events),
+      {_rounds(4)} SELECT id, lam AS "lambda", z FROM z""",
+)

@@ -38,10 +38,17 @@ def _messy(s, d):
     )
 
 
+def _messy_file(s, d):
+    """The rows as a folder of CSV files."""
+    path = io.new_path(s, "messy")
+    _messy(s, d).write.option("header", True).csv(path)
+    return path
+
+
 register(
     "A2_read_predictions",
     shape("id", "", "target"),
-    lambda s, d: io.coerce_predictions(_messy(s, d), dedupe=True),
+    lambda s, d: io.read_predictions(s, _messy_file(s, d), dedupe=True),
     """SELECT event_id // 2 AS id, avg(value) AS target FROM events
       WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 GROUP BY 1""",
 )
@@ -220,7 +227,16 @@ def _sample(s, d):
     return some.unionByName(each)
 
 
-register("B7_sample_rows", shape("scope entity ts", "id"), _sample)
+register(
+    "B7_sample_rows",
+    shape("scope entity ts", "id"),
+    _sample,
+    f"""WITH {HOURLY}, p AS (SELECT *, md5(id || ':7') AS pick FROM panel),
+      r AS (SELECT *, row_number() OVER (ORDER BY pick, id) AS place,
+        row_number() OVER (PARTITION BY entity ORDER BY pick, id) AS own FROM p)
+      SELECT 'all' AS scope, entity, ts, id FROM r WHERE place <= 50
+      UNION ALL SELECT 'entity', entity, ts, id FROM r WHERE own <= 20""",
+)
 
 # --- joins ---------------------------------------------------------------------------------
 

@@ -517,23 +517,45 @@ def target_inverse(c: Column | str, method: str, shift: Column | float = 0.0) ->
 def yeo_johnson(c: Column | str, lam: float) -> Column:
     """Power transform that is defined on both sides of zero."""
     y = num(c)
-    up = F.log1p(y) if lam == 0 else (F.pow(y + 1.0, F.lit(lam)) - 1.0) / lam
+    up = F.log1p(y) if abs(lam) < 1e-9 else (F.pow(y + 1.0, F.lit(lam)) - 1.0) / lam
     rest = 2.0 - lam
-    down = -F.log1p(-y) if rest == 0 else -(F.pow(1.0 - y, F.lit(rest)) - 1.0) / rest
+    down = -F.log1p(-y) if abs(rest) < 1e-9 else -(F.pow(1.0 - y, F.lit(rest)) - 1.0) / rest
     return F.when(y >= 0, up).when(y < 0, down)
 
 
 def yeo_johnson_inverse(c: Column | str, lam: float) -> Column:
     z = num(c)
-    up = F.expm1(z) if lam == 0 else F.pow(z * lam + 1.0, F.lit(1.0 / lam)) - 1.0
+    up = F.expm1(z) if abs(lam) < 1e-9 else F.pow(z * lam + 1.0, F.lit(1.0 / lam)) - 1.0
     rest = 2.0 - lam
-    down = -F.expm1(-z) if rest == 0 else 1.0 - F.pow(1.0 - rest * z, F.lit(1.0 / rest))
+    down = -F.expm1(-z) if abs(rest) < 1e-9 else 1.0 - F.pow(1.0 - rest * z, F.lit(1.0 / rest))
     return F.when(z >= 0, up).when(z < 0, down)
 
 
-def fit_yeo_johnson(train: DataFrame, c: str, grid: Sequence[float] | None = None) -> float:
-    """Grid value with the largest normal log-likelihood; one aggregate over the data."""
-    grid = [i / 10 for i in range(-20, 41)] if grid is None else list(grid)
+#: Probes of a round in which the transform's power is narrowed down, besides the first.
+PROBES = 16
+
+
+def fit_yeo_johnson(
+    train: DataFrame, c: str, grid: Sequence[float] | None = None, tol: float | None = None
+) -> float:
+    """Grid value with the largest normal log-likelihood; one aggregate over the data.
+
+    With ``tol`` the search goes on between the neighbours of the best grid value: a round tries evenly spaced
+    values in one aggregate and keeps the steps around the best, until a step is no longer than ``tol``."""
+    grid = [i / 10 for i in range(-20, 41)] if grid is None else sorted(grid)
+    best = _likeliest(train, c, grid)
+    if tol is not None and len(grid) > 1:
+        at = grid.index(best)
+        low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+        step = high - low
+        while step > tol:
+            step = (high - low) / PROBES
+            best = _likeliest(train, c, [low + step * i for i in range(PROBES + 1)])
+            low, high = best - step, best + step
+    return best
+
+
+def _likeliest(train: DataFrame, c: str, grid: Sequence[float]) -> float:
     y = F.col(c)
     terms = [F.var_pop(yeo_johnson(y, lam)).alias(f"v{i}") for i, lam in enumerate(grid)]
     jac = F.sum(F.signum(y) * F.log1p(F.abs(y))).alias("jac")

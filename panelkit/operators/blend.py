@@ -13,7 +13,7 @@ from panelkit.functions.contract import clip, flag, num, positive, truth
 from panelkit.operators.joins import align_predictions, lookup_backoff, ordered_bounds
 from panelkit.operators.profile import join_table, scopes, summarize
 from panelkit.plans.layout import PanelSpec, attach, row_scalars, scalars
-from panelkit.plans.ranks import quantiles
+from panelkit.plans.ranks import first_rows, quantiles
 from panelkit.sources.io import materialize
 
 # --- averages ------------------------------------------------------------------------------
@@ -414,8 +414,10 @@ def replace_topk(
     if k <= 0:
         raise ValueError("k must be positive")
     x = F.col(c)
-    order = {"largest": x.desc(), "smallest": x.asc(), "abs": F.abs(x).desc()}[mode]
-    top = pred.orderBy(order, F.col(key)).limit(k).select(key, F.lit(True).alias("__top"))
+    size = {"largest": -x, "smallest": x, "abs": -F.abs(x)}[mode]
+    # Missing values are the smallest, and so the last by size downwards.
+    order = [x.isNotNull() if mode == "smallest" else x.isNull(), size, F.col(key)]
+    top = first_rows(pred.select(key, c), order, k).select(key, F.lit(True).alias("__top"))
     marked = attach(pred, top, [key], rows=k).withColumn("__top", truth(F.col("__top")))
     part = F.when(~F.col("__top"), x) if method.endswith("non_topk") else x
     if method == "value":

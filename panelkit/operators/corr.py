@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.contract import as_list, null_if_nan, safe_corr
 from panelkit.plans.gram import pair_sums, pair_table
 from panelkit.plans.layout import GroupBound, PanelSpec
-from panelkit.plans.ranks import positions, rank_pct
+from panelkit.plans.ranks import first_rows, positions, rank_pct
 from panelkit.sources.io import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -297,7 +297,7 @@ def prediction_similarity(
 
 
 def lowest_pairs(table: DataFrame, k: int) -> DataFrame:
-    return table.orderBy(F.col("corr").asc_nulls_last(), "a", "b").limit(k)
+    return first_rows(table, [F.col("corr").isNull(), F.col("corr"), F.col("a"), F.col("b")], k)
 
 
 def against(table: DataFrame, reference: str) -> DataFrame:

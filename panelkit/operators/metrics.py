@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.contract import as_list, rmse, safe_corr, truth
 from panelkit.operators.profile import join_table, summarize, table_bound
 from panelkit.plans.layout import PanelSpec, attach, row_scalars
-from panelkit.plans.ranks import quantiles
+from panelkit.plans.ranks import first_rows, quantiles
 
 
 def error_metrics(
@@ -224,18 +224,15 @@ def worst_cells(
     metrics: DataFrame, k: int, min_rows: int, keys: Sequence[str], by: str = "rmse"
 ) -> DataFrame:
     """The k cells of largest error among those with enough rows; ties by key."""
-    return (
-        metrics.filter(F.col("n") >= min_rows)
-        .orderBy(F.col(by).desc_nulls_last(), *[F.col(c) for c in keys])
-        .limit(k)
-    )
+    order = [F.col(by).isNull(), -F.col(by), *[F.col(c) for c in keys]]
+    return first_rows(metrics.filter(F.col("n") >= min_rows), order, k)
 
 
 def worst_rows(df: DataFrame, k: int, spec: PanelSpec, pred: str = "pred") -> DataFrame:
     """The k rows of largest absolute error; ties by id."""
     size = F.abs(F.col(pred) - F.col(spec.target))
     out = df.withColumn("abs_error", size)
-    return out.orderBy(F.col("abs_error").desc_nulls_last(), F.col(spec.id)).limit(k)
+    return first_rows(out, [F.col("abs_error").isNull(), -F.col("abs_error"), F.col(spec.id)], k)
 
 
 def run_delta(

@@ -753,6 +753,38 @@ def permute_columns(
     return moved.select(*df.columns)
 
 
+#: Types whose values a double holds exactly; others are moved as text.
+NUMBERS = ("double", "float", "int", "smallint", "tinyint")
+
+
+def _moved(
+    val: DataFrame, groups: Mapping[str, Sequence[str]], spec: PanelSpec, seed: int, fold: int
+) -> tuple[DataFrame, int]:
+    """Rows of ``val`` with ``__moved``: per group of columns their values in the row drawn for it, as
+    numbers and texts in the group's order.
+
+    Rows stand in the order of a seeded hash of their id; for group g a row draws the row s(g) places behind it,
+    around the end. So one order serves all groups, and what is moved is each group's own columns."""
+    pick = F.md5(F.concat(F.col(spec.id).cast("string"), F.lit(f":{seed}")))
+    placed = positions(val.select(spec.id, pick.alias("__pick")), [F.col("__pick"), F.col(spec.id)], "__pos")
+    rows = materialize(val.join(placed.drop("__pick"), spec.id))
+    n, kind = rows.count(), dict(val.dtypes)
+    draws = []
+    for g, (name, cols) in enumerate(groups.items()):
+        shift = 1 + zlib.crc32(f"{seed}/{fold}/{name}".encode()) % (n - 1) if n > 1 else 0
+        numbers = [F.col(c).cast("double") if kind[c] in NUMBERS else F.lit(None).cast("double") for c in cols]
+        texts = [F.lit(None).cast("string") if kind[c] in NUMBERS else F.col(c).cast("string") for c in cols]
+        draws.append(
+            F.struct(
+                F.pmod(F.col("__pos") - shift, F.lit(max(n, 1))).alias("__to"), F.lit(g).alias("g"),
+                F.array(*numbers).alias("numbers"), F.array(*texts).alias("texts"),
+            )
+        )
+    sent = rows.select(F.inline(F.array(*draws)))
+    drawn = sent.groupBy("__to").agg(F.collect_list(F.struct("g", "numbers", "texts")).alias("__moved"))
+    return rows.join(drawn, F.col("__pos") == F.col("__to")).drop("__pos", "__to"), n
+
+
 def permutation_importance(
     val: DataFrame,
     predict: Callable[[DataFrame], DataFrame],
@@ -765,30 +797,70 @@ def permutation_importance(
     """(fold, name, group_size, baseline_rmse, rmse_permuted, delta, n_val_rows) for features,
     groups or families of features.
 
-    All groups are permuted and predicted in one job: every row appears once per group (and once
-    unchanged), takes the group's columns from the row drawn for it, and ``predict`` sees them
-    all together. Rows are drawn as in ``permute_columns``. ``predict`` must keep other columns.
-    """
+    All groups are permuted and predicted in one job. A row first meets the values drawn for it, of which each
+    group moves only its own columns; only then it is repeated, once per group and once unchanged, so the
+    copies are never shuffled. ``predict`` must keep other columns. Ids are unique."""
     names = list(groups)
-    seeds = [zlib.crc32(f"{seed}/{fold}/{n}".encode()) for n in names]
-    moved_cols = sorted({c for cols in groups.values() for c in cols})
-    g = F.col("__g")
-    source = val.select(F.col(spec.id).alias("__from"), F.struct(*moved_cols).alias("__src"))
-    drawn = _partners(val, spec, seeds).join(source, "__from").drop("__from")
-    unchanged = val.select(spec.id, F.lit(-1).alias("__g"), F.struct(*moved_cols).alias("__src"))
-    both = val.join(drawn.unionByName(unchanged), spec.id)
-    changed = {}
-    for c in moved_cols:
-        mine = [k for k, n in enumerate(names) if c in groups[n]]
-        changed[c] = F.when(g.isin(*mine), F.col("__src")[c]).otherwise(F.col(c))
-    shuffled = both.withColumns(changed).select(*val.columns, "__g")
+    both, _ = _moved(val, groups, spec, seed, fold)
+    unchanged = F.struct(
+        F.lit(-1).alias("g"), F.array().cast("array<double>").alias("numbers"), F.array().cast("array<string>").alias("texts")
+    )
+    rows = both.withColumn("__m", F.explode(F.concat(F.array(unchanged), "__moved"))).drop("__moved")
+    kind, changed = dict(val.dtypes), {}
+    for c in sorted({c for cols in groups.values() for c in cols}):
+        places = F.array(*[F.lit(list(cols).index(c) if c in cols else None).cast("int") for cols in groups.values()])
+        at = F.when(F.col("__m.g") >= 0, F.get(places, F.col("__m.g")))
+        value = F.get(F.col("__m.numbers" if kind[c] in NUMBERS else "__m.texts"), at).cast(kind[c])
+        changed[c] = F.when(at.isNotNull(), value).otherwise(F.col(f"`{c}`"))
+    shuffled = rows.withColumns(changed).withColumn("__g", F.col("__m.g")).drop("__m")
     err = F.col(pred) - F.col(spec.target)
     scored = predict(shuffled).groupBy("__g").agg(rmse(err).alias("r"), F.count(err).alias("n"))
-    result = {row["__g"]: row for row in scored.collect()}  # one row per group
-    base = result[-1]
+    return _importance(val, groups, {row["__g"]: (row["r"], row["n"]) for row in scored.collect()}, names, fold)
+
+
+def ridge_importance(
+    val: DataFrame,
+    table: DataFrame,
+    by: Sequence[str],
+    x: Sequence[str],
+    groups: Mapping[str, Sequence[str]],
+    spec: PanelSpec,
+    seed: int = 42,
+    fold: int = 1,
+) -> DataFrame:
+    """``permutation_importance`` of a ridge table without repeating rows: a row's error under each group is
+    its own error plus the coefficients times the change of the group's features, one array per row."""
+    names, at = list(groups), {c: i for i, c in enumerate(x)}
+    both, _ = _moved(val, groups, spec, seed, fold)
+    own = table.select(*by, *[F.col(n).alias(f"__{n}") for n in ("intercept", "coefs", "fills")])
+    rows = _with(both, own, by, spec)
+    base = linear_score(x, F.col("__intercept"), F.col("__coefs"), F.col("__fills")) - F.col(spec.target)
+    rows = rows.withColumn("__err", base).withColumn("__now", F.array(*[_filled(c, F.col("__fills")[at[c]]) for c in x]))
+    used = F.array(*[F.array(*[F.lit(at.get(c)).cast("int") for c in cols]) for cols in groups.values()])
+
+    def error(moved: Column) -> Column:
+        pairs = F.arrays_zip(F.get(used, moved["g"]).alias("i"), moved["numbers"].alias("v"))
+
+        def change(total: Column, p: Column) -> Column:
+            v, fill = p["v"], F.get(F.col("__fills"), p["i"])
+            v = clip(F.coalesce(F.when(F.abs(v) < float("inf"), v), fill), -LIMIT, LIMIT)
+            step = F.get(F.col("__coefs"), p["i"]) * (v - F.get(F.col("__now"), p["i"]))
+            return total + F.when(p["i"].isNull(), F.lit(0.0)).otherwise(step)
+
+        return F.struct(moved["g"].alias("g"), F.aggregate(pairs, F.col("__err"), change).alias("e"))
+
+    errors = F.concat(F.array(F.struct(F.lit(-1).alias("g"), F.col("__err").alias("e"))), F.transform("__moved", error))
+    scored = rows.select(F.inline(errors)).groupBy("g").agg(rmse("e").alias("r"), F.count("e").alias("n"))
+    return _importance(val, groups, {row["g"]: (row["r"], row["n"]) for row in scored.collect()}, names, fold)
+
+
+def _importance(val: DataFrame, groups: Mapping[str, Sequence[str]], result: Mapping, names: Sequence[str], fold: int) -> DataFrame:
+    """One row per group; none without rows."""
+    base = result.get(-1)
     table = [
-        (fold, n, len(groups[n]), base["r"], result[k]["r"], result[k]["r"] - base["r"], base["n"])
+        (fold, n, len(groups[n]), base[0], result[k][0], result[k][0] - base[0], base[1])
         for k, n in enumerate(names)
+        if base and base[0] is not None
     ]
     return val.sparkSession.createDataFrame(
         table,

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from panelkit.functions.contract import flag, wall_clock
 from panelkit.plans.layout import PanelSpec, attach
+from panelkit.plans.ranks import first_rows
 
 # Salts a large group is spread over, step by step.
 SALTS = (2**18, 2**9)
@@ -113,13 +114,13 @@ def sample_rows(
     The same rows are chosen whatever the partitioning. A large group is cut to ``n`` rows per
     salt, with fewer salts each time, so its rows never meet in one task.
     """
-    pick = F.xxhash64(F.col(spec.id), F.lit(seed))
+    pick = F.md5(F.concat(F.col(spec.id).cast("string"), F.lit(f":{seed}")))
     if not by:
-        return df.orderBy(pick, F.col(spec.id)).limit(n)
+        return first_rows(df, [pick, F.col(spec.id)], n)
     order = [F.col("__pick"), F.col(spec.id)]
     out = df.withColumn("__pick", pick)
     for salts in [1] if spec.bounded(by) else [*SALTS, 1]:
-        out = out.withColumn("__salt", F.pmod(F.col("__pick"), F.lit(salts)))
+        out = out.withColumn("__salt", F.crc32("__pick") % salts)
         rank = F.row_number().over(W.partitionBy(*by, "__salt").orderBy(*order))
         out = out.withColumn("__rank", rank).filter(F.col("__rank") <= n)
     return out.drop("__pick", "__salt", "__rank")

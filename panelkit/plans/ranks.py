@@ -243,3 +243,23 @@ def positions(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
         .withColumn(out, F.col("__off") + inside - 1)
         .drop("__range", "__off")
     )
+
+
+#: Rows up to which the first n of an order are gathered in one task.
+GATHERED = 100_000
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order in which no two rows are equal; missing values come first (put
+    ``isNull()`` before a column to have them last).
+
+    A small n is one top-n per task. A large one finds the last row's place among range-partitioned keys and
+    filters by it, so that only keys are moved and no task orders more than its range. Rows equal to
+    the last one in the whole order come along."""
+    if n <= GATHERED:
+        return df.orderBy(F.struct(*order)).limit(n)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    placed = positions(df.select(key.alias("__key")), [F.col("__key")], "__pos")
+    last = placed.filter(F.col("__pos") == n - 1).agg(F.max("__key").alias("__last"))
+    cut = last.scalar()
+    return df.filter(cut.isNull() | (key <= cut))

@@ -45,10 +45,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _scan(spark: SparkSession, path: str | Sequence[str], names: Iterable[str]) -> DataFrame:
-    """CSV is read as text under its own header; anything else is read as Parquet."""
+def form_of(spark: SparkSession, path: str) -> str:
+    """``csv`` if the path names CSV files or a folder that holds some, else ``parquet``."""
+    if path.rstrip("/*").endswith((".csv", ".csv.gz")):
+        return "csv"
+    # Names only: the files' content is not read.
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").load(path)
+    return "csv" if names.select("path").limit(1).count() else "parquet"
+
+
+def _scan(
+    spark: SparkSession, path: str | Sequence[str], names: Iterable[str], form: str | None = None
+) -> DataFrame:
+    """CSV is read as text under its own header, Parquet as it is. Without ``form`` the files' names tell."""
     first = path if isinstance(path, str) else path[0]
-    if first.rstrip("/*").endswith(".csv"):
+    if (form or form_of(spark, first)) == "csv":
         return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     return spark.read.parquet(*([path] if isinstance(path, str) else path)).select(
         *[c for c in names]
@@ -71,10 +82,11 @@ def read_panel(
     path: str | Sequence[str],
     schema: Mapping[str, str],
     strict_ts: bool = True,
+    form: str | None = None,
 ) -> DataFrame:
     """Panel with a declared schema (name -> type). Numbers and text are coerced; timestamps
     raise on an unreadable value if ``strict_ts``, else become NULL."""
-    raw = require_columns(_scan(spark, path, schema), schema)
+    raw = require_columns(_scan(spark, path, schema, form), schema)
     made = []
     for name, kind in schema.items():
         value = coerce(name, kind)
@@ -98,9 +110,10 @@ def coerce_predictions(
 
 
 def read_predictions(
-    spark: SparkSession, path: str | Sequence[str], dedupe: bool = False
+    spark: SparkSession, path: str | Sequence[str], dedupe: bool = False, form: str | None = None
 ) -> DataFrame:
-    return coerce_predictions(_scan(spark, path, ["id", "target"]), dedupe)
+    """Prediction tables as written by ``write_predictions`` or by hand, CSV or Parquet."""
+    return coerce_predictions(_scan(spark, path, ["id", "target"], form), dedupe)
 
 
 def read_many_predictions(spark: SparkSession, path: str, label: str = r"run=([^/]+)") -> DataFrame:
@@ -120,10 +133,10 @@ def predictions_wide(long: DataFrame, runs: Sequence[str]) -> DataFrame:
 
 
 def read_oof(
-    spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str]
+    spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str], form: str | None = None
 ) -> DataFrame:
     """Out-of-fold table with columns renamed by ``mapping`` (new name -> stored name)."""
-    raw = require_columns(_scan(spark, path, mapping.values()), mapping.values())
+    raw = require_columns(_scan(spark, path, mapping.values(), form), mapping.values())
     return clean_numbers(raw.select(*[F.col(old).alias(new) for new, old in mapping.items()]))
 
 

@@ -190,3 +190,29 @@ def test_proxy_feature_keeps_its_columns_with_few_rows(spark):
     df = spark.createDataFrame([(1, 5.0, 9.0, 1.0, 3.0)], "id bigint, wind_forecast double, load_forecast double, solar_forecast double, w double")
     out = M.proxy_feature(df, ["w"], PanelSpec())
     assert {"wind_prod_est", "residual_load_est"} <= set(out.columns) and out.first()["wind_prod_est"] is None
+
+
+def test_ridge_importance_equals_the_general_way(data):
+    df, spec = data
+    table = M.grouped_ridge(df, ["entity"], ["x", "y", "hour"], "target", spec, 0.1)
+
+    def predict(rows):
+        return M.predict_ridge(rows, table, ["entity"], ["x", "y", "hour"], spec)
+
+    groups = {"y": ["y"], "both": ["hour", "x"], "other": ["entity"], "text and number": ["ts", "y"]}
+    a = {r.name: r for r in M.permutation_importance(df, predict, {k: v for k, v in groups.items() if k != "other"}, spec).collect()}
+    b = {r.name: r for r in M.ridge_importance(df, table, ["entity"], ["x", "y", "hour"], groups, spec).collect()}
+    for name, r in a.items():
+        assert b[name].rmse_permuted == pytest.approx(r.rmse_permuted, rel=1e-9) and r.n_val_rows == df.count()
+    assert b["other"].delta == pytest.approx(0.0, abs=1e-9)
+    assert M.permutation_importance(df.filter("false"), predict, {"y": ["y"]}, spec).count() == 0
+
+
+def test_permuted_rows_are_shuffled_once_per_row(spark, data):
+    """What is moved is each group's own columns, however many others the table has."""
+    df, spec = data
+    wide = df.withColumns({f"more{i}": F.lit(float(i)) for i in range(30)})
+    both, n = M._moved(wide, {"y": ["y"], "x": ["x"]}, spec, 1, 1)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "Aggregate [__to" in line)
+    assert n == wide.count() and "more" not in sent and both.count() == n

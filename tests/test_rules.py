@@ -247,3 +247,21 @@ def test_tables_go_to_the_shared_folder_of_the_session(spark, tmp_path):
     assert io.materialize(df).count() == 3
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or io.shared_dir(spark) == named
+
+
+def test_written_predictions_are_read_back(spark, tmp_path):
+    pred = spark.createDataFrame([(1, 0.5), (2, 1.5)], "id long, target double")
+    for form in ("csv", "parquet"):
+        path = f"{tmp_path}/{form}"
+        io.write_predictions(pred, pred, path, form)
+        for named in (None, form):
+            assert sorted(tuple(r) for r in io.read_predictions(spark, path, form=named).collect()) == [(1, 0.5), (2, 1.5)]
+
+
+def test_power_is_narrowed_down(spark):
+    df = spark.range(400).select((F.exp(F.col("id") / 100) - 2).alias("y"))
+    coarse, fine = S.fit_yeo_johnson(df, "y"), S.fit_yeo_johnson(df, "y", tol=1e-4)
+    dense = S.fit_yeo_johnson(df, "y", [coarse - 0.1 + i * 1e-3 for i in range(201)])
+    assert abs(fine - dense) < 1.1e-3 and abs(fine - coarse) <= 0.1
+    at_zero = df.select("y", S.yeo_johnson("y", 1e-17).alias("a"), S.yeo_johnson("y", 0.0).alias("b"))
+    assert at_zero.filter("abs(a - b) > 1e-12").count() == 0

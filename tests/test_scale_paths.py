@@ -310,3 +310,13 @@ def test_long_std_forgets_a_spike(spark):
         assert len(slow) == 180 and all(r.target_roll_std_720 == 0 for r in slow)
         moved = window.volatility(df, spec, ["target"]).filter("id >= 780").collect()
         assert all(r.target_vol_28d == 0 and r.target_vol_z_7d_28d == 0 for r in moved)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 60, 10_000])
+def test_first_rows(data, monkeypatch, n):
+    df, _ = data
+    order = [F.col("x").isNull(), -F.col("x"), F.col("id")]
+    want = [r.id for r in df.orderBy(F.col("x").desc_nulls_last(), "id").limit(n).collect()]
+    assert sorted(r.id for r in ranks.first_rows(df, order, n).collect()) == sorted(want)
+    monkeypatch.setattr(ranks, "GATHERED", 0)
+    assert sorted(r.id for r in ranks.first_rows(df.repartition(7), order, n).collect()) == sorted(want)
