@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import parts, slices
+from panelkit.llm.common import few_smallest, parts, slices
 from panelkit.llm.units import Encoder, TokenCounter, kept, single_token_strings
 from panelkit.sources.io import materialize, new_path
 
@@ -66,12 +66,11 @@ def train_dictionary(
 
     Trained on at most ``sample_docs`` documents, those with the smallest hash of their id, and of
     each the id array up to ``sample_ids`` ids: a bound on what the driver holds, which changes
-    file sizes only. With too few documents to train on it is empty and frames use none."""
-    chosen = (
-        docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-        .orderBy(F.xxhash64("key"), F.col("key"), F.xxhash64("text"))
-        .limit(sample_docs)
-    )
+    file sizes only. With too few documents to train on it is empty and frames use none.
+
+    The cut in the order of hashes is found from ids alone, so hardly more texts are moved than the sample's."""
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("place"))
+    chosen = few_smallest(rows, "place", sample_docs).orderBy("place", "key", F.xxhash64("text")).limit(sample_docs)
 
     def serialized(batches):
         enc = kept(Encoder, tokenizer)
@@ -116,7 +115,10 @@ def write_token_files(
     def encode(batches):
         enc = kept(Encoder, tokenizer)
         wide = enc.tokenizer.get_vocab_size() > 65536
-        press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value), write_content_size=True)
+        words = _dictionary(shared.value)
+        if words:
+            words.precompute_compress(level=level)  # else every frame would digest the dictionary anew
+        press = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=True)
         for b in (some for whole in batches for some in slices(whole)):
             ids = [i + end for i in enc.ids(b["text"].to_pylist())]
             frames = [press.compress(_narrow(i, enc) if not wide else i) for i in ids]

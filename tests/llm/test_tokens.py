@@ -26,7 +26,7 @@ def crc(values):
     return zlib.crc32(np.array(values, "<u4").tobytes())
 
 
-BITS = ["a", " b", "  ", "\n\nq", "\t", "<|endoftext|>", "　z", "\x1cq!\x1c", "é", "it's", " 's", "\xa0", "12 3", "!!\x85?", "​", "😀 "]
+BITS = ["a", " ", " b", " \n", "\r\n", "x y", "  ", "\n\nq", "\t", "<|endoftext|>", "　z", "\x1cq!\x1c", "é", "it's", " 's", "\xa0", "12 3", "!!\x85?", "​", "😀 "]
 
 
 @settings(max_examples=300, deadline=None)
