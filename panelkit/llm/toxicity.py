@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from panelkit.llm.common import in_fold, slices
+from panelkit.llm.common import few_smallest, in_fold, slices
 
 TOKENS = re.compile(r"\w+").findall
 #: Odd multipliers that tell the features of a word, its beginnings, pairs and skip pairs apart.
@@ -124,7 +124,8 @@ def fit(
     if folds:
         known = known.filter(~in_fold("key", folds, 0))
     # the ids of the sample: at most max_rows narrow rows
-    chosen = known.orderBy(F.xxhash64("key"), "key", "y").limit(settings.max_rows)
+    placed = few_smallest(known.withColumn("place", F.xxhash64("key")), "place", settings.max_rows)
+    chosen = placed.orderBy("place", "key", "y").limit(settings.max_rows).drop("place")
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(
         F.broadcast(chosen), "key"
     )
@@ -133,8 +134,12 @@ def fit(
     def run(batches):
         features, xs, ys = Features(settings.bits), [], []
         for b in batches:
-            xs += [features(t).astype("i4") for some in slices(b["text"]) for t in some.to_pylist()]
-            ys += b["y"].to_pylist()
+            for some in slices(b):
+                made = [features(t).astype("i4") for t in some["text"].to_pylist()]
+                # One block for all of them: large blocks go back to the system when the task ends.
+                block = np.concatenate(made)
+                xs += np.split(block, np.cumsum([len(x) for x in made])[:-1])
+                ys += some["y"].to_pylist()
         w, bias = ftrl(xs, np.array(ys, "float64"), settings)
         on = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays(
