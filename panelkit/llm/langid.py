@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,18 @@ class Settings:
     letters: int = 61
     #: A text is parsed in windows of so many characters, each from its own start.
     window: int = 1024
+    #: Bounds over all languages together: characters (more languages get fewer each), and bytes of the
+    #: dense table (more languages get fewer dense letters, which changes no result).
+    total: int = 2_400_000
+    dense: int = 160_000_000
+
+    def shared_by(self, languages: int) -> Settings:
+        chars = min(self.chars, max(64, self.total // max(languages, 1)))
+        # An automaton has at most twice as many states as symbols, in text about one and a half times.
+        width = self.dense // (6 * chars * max(languages, 1))
+        if languages * chars * 16 >= 2**31:
+            raise ValueError(f"{languages} languages are too many for one table")
+        return replace(self, chars=chars, letters=max(0, min(self.letters, width - 2)))
 
 
 @dataclass(frozen=True)
@@ -100,6 +112,7 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
 def build(texts: dict[str, list[str]], settings: Settings) -> Model:
     """One automaton per language, in one table. Every entry already holds what follows a failure:
     the state after the symbol, and whether a phrase ended before it."""
+    settings = settings.shared_by(len(texts))
     common = Counter(c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha())
     ranked = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
     letters = "".join(sorted(ranked[: settings.letters]) + ranked[settings.letters :])
@@ -143,7 +156,7 @@ def build(texts: dict[str, list[str]], settings: Settings) -> Model:
         tables.append(table)
         roots.append(offset * width)
         offset += len(edges)
-    packed = np.concatenate(tables).astype("<i4").tobytes() if tables else b""
+    packed = b"".join(t.astype("<i4").tobytes() for t in tables)  # shared_by keeps entries below 2^31
     order = np.argsort(np.array(keys, "<i8"))
     sparse = np.concatenate([np.array(keys, "<i8")[order], np.array(entries, "<i8")[order]]).tobytes()
     return Model(
@@ -171,12 +184,14 @@ def fit(
 ) -> Model:
     """Labelled text per language from rows outside the held-out fold: of each language the
     ``settings.rows`` rows with the smallest hash of their id, up to ``settings.chars`` characters;
-    texts longer than a tenth of that come last. So the driver holds a bound per language."""
+    texts longer than a tenth of that come last. With many languages each has fewer characters
+    (``Settings.total``). So the driver and the workers hold a bound whatever the labels are."""
     rows = docs.select(
         F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("lang is not null and text is not null and key is not null")
     if folds:
         rows = rows.filter(~in_fold("key", folds, held))
+    chars = settings.shared_by(rows.select("lang").distinct().count()).chars
     long = F.length("text") > settings.chars // 10
     order = [long, F.xxhash64("key"), F.col("key"), F.xxhash64("text")]
     first = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
@@ -187,8 +202,10 @@ def fit(
     sample = rows.withColumn("digest", F.xxhash64("text")).join(
         F.broadcast(chosen.select("lang", "key", "digest").distinct()), ["lang", "key", "digest"]
     )
-    top = sample.withColumn("n", first).filter(F.col("n") <= settings.rows)
-    got = top.select("lang", "n", F.substring("text", 1, settings.chars).alias("text")).collect()
+    top = sample.withColumn("n", first).filter(F.col("n") <= settings.rows).withColumn("text", F.substring("text", 1, chars))
+    before = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    needed = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) < 2 * chars  # gaps count once
+    got = top.withColumn("needed", needed).filter("needed").select("lang", "n", "text").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.n)):
         texts.setdefault(r.lang, []).append(r.text)

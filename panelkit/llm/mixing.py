@@ -116,13 +116,13 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-_UNIT = "rank long, key long, size long, times long, pi double, hash long"
+_UNIT = "unit long, rank long, size long, pi double, hash long"
 
 
 def _round(frame: DataFrame, last: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hash", "key", "size"], kind="stable").reset_index(drop=True)
-        weight = (pdf["size"] * pdf["times"]).to_numpy("float64")
+        pdf = pdf.sort_values(["hash", "unit"], kind="stable").reset_index(drop=True)
+        weight = pdf["size"].to_numpy("float64")
         draws = ((pdf["hash"].to_numpy().astype("uint64") >> np.uint64(11)) * 2.0**-53)
         pi = flight(pdf["pi"].to_numpy(), weight, draws)
         pdf["pi"] = landing(pi, weight) if last else pi
@@ -133,9 +133,9 @@ def _round(frame: DataFrame, last: bool) -> DataFrame:
 
 def mix(
     docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: Column | None = None,
 ) -> DataFrame:
-    """How often the mix takes each document: id, ``source``, ``size``, ``source_size``, ``target``,
+    """How often the mix takes each document: id, ``source``, ``digest``, ``size``, ``source_size``, ``target``,
     ``copies``, ``taken`` (words, repeats counted).
 
     Each document of a source is due target / source_size times. The whole part is taken; for the
@@ -144,13 +144,14 @@ def mix(
     per block stay undecided, these meet in the next round's blocks, and the last two of a source
     are decided by a small landing. So a source of any size is spread over many tasks.
 
-    Directions come from hashes of ids: reruns agree. Rows with equal id, source and size (repeated
-    rows) are one unit, taken together. A null source is a source of its own; null or empty texts
+    Directions come from hashes of ids and texts: reruns agree. Rows are told apart by id, source and ``digest``
+    (default: a hash of the text). Of m rows that are equal in all of them the whole part of what they are due
+    together goes to the first so many, and one more of them at most is up to the flight. A null source is a source of its own; null or empty texts
     have size 0 and are taken as often as others; an empty table gives no rows."""
     sizes = materialize(
         docs.select(
             F.col(id_col).cast("long").alias("key"), F.col(source_col).alias("source"),
-            n_words(text_col).alias("size"),
+            n_words(text_col).alias("size"), (F.xxhash64(text_col) if digest is None else digest).alias("digest"),
         )
     )
     targets = source_targets(sizes, cycle, most)
@@ -161,15 +162,23 @@ def mix(
         targets.withColumn("pi", F.when(near, 0.0).otherwise(rate - F.col("whole")))
     )
     joined = sizes.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-    rows = materialize(
-        joined.select("s.key", "s.source", "s.size", "t.rank", "t.source_size", "t.target", "t.whole", "t.pi")
+    due = joined.select(
+        "s.key", "s.source", "s.size", "s.digest", "t.rank", "t.source_size", "t.target", "t.whole", "t.pi", F.lit(1).cast("long").alias("one")
     )
-    units = (
-        rows.groupBy("rank", "key", "size", "pi").agg(F.count("*").alias("times"))
-        .withColumn("hash", F.xxhash64(F.lit(seed), "key", "rank", "size"))
+    order = [F.col("rank"), F.col("key").asc_nulls_first(), F.col("size"), F.col("digest")]
+    rows = materialize(add_running_start(due, order, "one", "place").drop("one"))
+    # Equal rows stand together in one order, so the place of the first names their unit.
+    units = rows.groupBy("rank", "key", "size", "digest", "pi").agg(F.min("place").alias("unit"), F.count("*").alias("times"))
+    owed = F.col("pi") * F.col("times")
+    base = F.when(F.abs(owed - F.round(owed)) < EDGE * F.col("times"), F.round(owed)).otherwise(F.floor(owed))
+    units = materialize(
+        units.withColumn("base", base.cast("long"))
+        .withColumn("rest", F.greatest(owed - F.col("base"), F.lit(0.0)))
+        .withColumn("hash", F.xxhash64(F.lit(seed), "key", "rank", "size", "digest"))
     )
-    units = units.select("rank", "key", "size", "times", "pi", "hash")
-    largest = rows.groupBy("rank").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    named = units.select("rank", "key", "size", "digest", "unit", "base")
+    largest = units.groupBy("rank").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    units = units.select("unit", "rank", "size", F.col("rest").alias("pi"), "hash")
     decided = None
     while True:
         blocks = max(1, -(-largest // BLOCK))
@@ -184,14 +193,17 @@ def mix(
             "hash", F.xxhash64(F.lit(seed), "hash", F.lit(blocks))
         )
         largest = 2 * blocks
-    extra = decided.select("rank", "key", "size", F.col("pi").cast("long").alias("extra"))
+    extra = named.join(decided.select("unit", F.col("pi").cast("long").alias("one")), "unit").withColumn(
+        "extra", F.col("base") + F.col("one")
+    )
     out = rows.alias("r").join(
         extra.alias("x"),
         (F.col("r.rank") == F.col("x.rank")) & F.col("r.key").eqNullSafe(F.col("x.key"))
-        & (F.col("r.size") == F.col("x.size")),
+        & (F.col("r.size") == F.col("x.size")) & (F.col("r.digest") == F.col("x.digest")),
     )
-    copies = F.col("whole") + F.col("extra")
+    copies = F.col("whole") + (F.col("place") - F.col("unit") < F.col("extra")).cast("long")
     return out.select(
-        F.col("r.key").alias(id_col), F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target",
+        F.col("r.key").alias(id_col), F.col("r.source").alias("source"), F.col("r.digest").alias("digest"),
+        F.col("r.size").alias("size"), "source_size", "target",
         copies.alias("copies"), (copies * F.col("r.size")).alias("taken"),
     )

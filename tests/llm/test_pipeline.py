@@ -73,7 +73,7 @@ def test_mix_takes_rows_of_one_id_apart(spark, sf):
     rows = [(i % 3 if i % 2 else None, f"d{i} " + "w " * (i % 5), None if i % 7 == 0 else "abc"[i % 3]) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     n = lambda t: len(t.split())
-    want = sorted((r.size, r.source or "", r.doc_id or -1) for r in P.mixing.mix(docs).collect() for _ in range(r.copies))
+    want = sorted((r.size, r.source or "", r.doc_id or -1) for r in P.mixing.mix(docs, digest=P._digest(docs)).collect() for _ in range(r.copies))
     got = sorted((n(r.text), r.source or "", r.doc_id or -1) for r in P.mix_sources(spark, docs, sf).collect())
     assert got == want
 
