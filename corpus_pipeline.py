@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import jaccard, langid, mixing, packing, toxicity
@@ -24,6 +24,12 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _digest(docs: DataFrame) -> Column:
+    """64 bits of all columns. A hash passes over nulls, so where they are goes into it too."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a toxicity score of 0.5 or more. The model learns from all labels whose
     document is still there; null and empty texts score like the average and stay."""
@@ -53,9 +59,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a 64-bit digest of all their columns, not by ids: of rows equal in all
     columns one stays, and documents without words are otherwise no duplicates of each other."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # A hash passes over nulls, so where they are goes into it too.
-    keyed = docs.withColumn("_digest", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    keyed = docs.withColumn("_digest", _digest(docs))
     groups = jaccard.jaccard_groups(keyed, jaccard.Settings(words=5, percent=80), "_digest")
     members = groups.select("_digest", F.col("component_id").alias("_group")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_digest")))
@@ -65,22 +69,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix says: rows repeat, or go where it is not taken. Rows of
-    one id, source and size are one unit of the mix and are taken alike."""
-    copies = materialize(
-        mixing.mix(docs).filter("copies > 0")
-        .select(
-            F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-            F.col("copies").cast("int").alias("_copies"),
-        )
-        .distinct()
-    )
-    sized = docs.withColumn("_words", mixing.n_words("text"))
-    taken = sized.join(
-        copies,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size")),
-    )
+    """Take each document as often as the mix says: rows repeat, or go where it is not taken. Rows are told
+    apart by a digest of all their columns; of rows equal in all columns one holds the copies of all."""
+    digest = _digest(docs)
+    mixed = mixing.mix(docs, digest=digest).groupBy(F.col("digest").alias("_digest"))
+    copies = materialize(mixed.agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0"))
+    taken = docs.withColumn("_digest", digest).dropDuplicates(["_digest"]).join(copies, "_digest")
     repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return _as_documents(repeated, docs)
 
