@@ -13,6 +13,7 @@ from xxhash import xxh3_64_intdigest
 
 from panelkit.llm.common import WORDS, parts, slices
 from panelkit.llm.components import components
+from panelkit.llm.units import release
 from panelkit.sources.io import materialize
 
 #: Odd multipliers of the places in a shingle.
@@ -98,6 +99,7 @@ def _dealt(docs: DataFrame, s: Settings, deals: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        release()
         shingles, made = Shingles(s.words), 0
         for b in batches:
             for some in slices(b, BATCH):
@@ -307,6 +309,7 @@ def links(
     )
 
     def run(batches):
+        release()
         shingles = Shingles(s.words)
         for b in batches:
             for some in slices(b, BATCH):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelkit.llm.common import in_fold, slices
+from panelkit.llm.units import release
 
 UNDETERMINED = "und"
 
@@ -298,6 +299,7 @@ def predict(spark: SparkSession, model: Model, text_col: str = "text") -> Column
 
     @F.arrow_udf("lang_pred string, score double, rate double, symbols long")
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         parser = Parser(shared.value)
         for texts in batches:
             found = [r for some in slices(texts, 512) for r in parser.best(some.to_pylist())]

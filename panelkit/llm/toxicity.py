@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from panelkit.llm.common import few_smallest, in_fold, slices
+from panelkit.llm.units import release
 
 TOKENS = re.compile(r"\w+").findall
 #: Odd multipliers that tell the features of a word, its beginnings, pairs and skip pairs apart.
@@ -132,6 +133,7 @@ def fit(
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "y", F.xxhash64("text"))
 
     def run(batches):
+        release()
         features, xs, ys = Features(settings.bits), [], []
         for b in batches:
             for some in slices(b):
@@ -174,6 +176,7 @@ def score(spark: SparkSession, model: Model, text_col: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pa.array([scorer(t) for some in slices(texts) for t in some.to_pylist()], pa.float64())

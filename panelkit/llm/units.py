@@ -8,6 +8,8 @@ such a name are left to the library as a whole."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
 from array import array as _packed
@@ -30,7 +32,7 @@ PRE_TOKENS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 ASCII_PRE_TOKENS = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Bytes that a generation of remembered pre-tokens takes about at most (a worker holds two), and the
 #: characters of the longest one that is remembered.
-MEMO_BYTES, LONGEST = 80_000_000, 200
+MEMO_BYTES, LONGEST = 48_000_000, 200
 #: Characters that are split into pre-tokens at a time.
 WINDOW = 250_000
 
@@ -212,3 +214,15 @@ def kept(kind, *args):
     if key not in _kept:
         _kept[key] = kind(*args)
     return _kept[key]
+
+
+def release() -> None:
+    """Give up what this worker remembers. Tasks of operators that encode nothing call it first, since
+    workers outlive the stage that filled them."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library: memory goes back when it likes
+            pass
