@@ -24,6 +24,14 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Rows of an Arrow batch: executors and their Python workers hold so many whole texts at a time.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _digest(docs: DataFrame) -> Column:
     """64 bits of all columns. A hash passes over nulls, so where they are goes into it too."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -33,6 +41,7 @@ def _digest(docs: DataFrame) -> Column:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a toxicity score of 0.5 or more. The model learns from all labels whose
     document is still there; null and empty texts score like the average and stay."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, folds=None)
     scored = docs.withColumn("_toxicity", toxicity.score(spark, model))
@@ -42,6 +51,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def reject_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null text, no letter, or further from every learnt
     language than any language is from itself. A short text shows little of that and so is kept."""
+    _small_batches(spark)
     model = langid.fit(docs, folds=None)
     found = docs.withColumn("_lang", langid.predict(spark, model))
     bounds = [max(FOREIGN, own + BEYOND * (1 - own)) for own in model.own]
@@ -59,6 +69,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a 64-bit digest of all their columns, not by ids: of rows equal in all
     columns one stays, and documents without words are otherwise no duplicates of each other."""
+    _small_batches(spark)
     keyed = docs.withColumn("_digest", _digest(docs))
     groups = jaccard.jaccard_groups(keyed, jaccard.Settings(words=5, percent=80), "_digest")
     members = groups.select("_digest", F.col("component_id").alias("_group")).distinct()
@@ -71,6 +82,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix says: rows repeat, or go where it is not taken. Rows are told
     apart by a digest of all their columns; of rows equal in all columns one holds the copies of all."""
+    _small_batches(spark)
     digest = _digest(docs)
     mixed = mixing.mix(docs, digest=digest).groupBy(F.col("digest").alias("_digest"))
     copies = materialize(mixed.agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0"))
@@ -81,6 +93,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in sequences of 1024."""
+    _small_batches(spark)
     pieces = packing.cut_documents(docs, public_tokenizers.path(TOKENIZER))
     return packing.pack(pieces).withColumnRenamed("key", "doc_id")
 
