@@ -199,7 +199,7 @@ def recursive_mixture(
     for k in linear:
         own = parts[k].table.select(e, *[F.col(c).alias(f"__{k}_{c}") for c in ("intercept", "coefs", "fills")])
         state = join_table(state, own, [e], spec)
-    kind = dict(horizon.dtypes)
+    kind, ident, when = dict(horizon.dtypes), spec.id, spec.ts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -234,8 +234,8 @@ def recursive_mixture(
                     mixed = (1.0 - said["gate"]) * said["normal"] + said["gate"] * said["spike"]
                 out[:, s] = held[:, at] = mixed
                 known = np.minimum(known + 1, keep)
-            near = [(name, r[spec.id], r[spec.ts], out[i, s]) for i, name in enumerate(entity) for s, r in enumerate(rows[i])]
-            made = pd.DataFrame(near, columns=[e, spec.id, spec.ts, "pred"])
+            near = [(name, r[ident], r[when], out[i, s]) for i, name in enumerate(entity) for s, r in enumerate(rows[i])]
+            made = pd.DataFrame(near, columns=[e, ident, when, "pred"])
             yield made.astype({e: object, "pred": object}).where(made.notna(), None)
 
     near = state.mapInPandas(
