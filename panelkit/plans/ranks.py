@@ -1,10 +1,11 @@
 """Exact order statistics that never put a whole group in one task.
 
-Values are first counted per (group, value), then located through two levels of value buckets:
-a logarithmic one (a fixed function of the value) and an even split of each bucket's own range.
-Bucket counts are carried forward, so only the rows of one small bucket are ever sorted
-together. Groups proven small use the built-in ``percentile`` or one window instead. NaN and
-infinity are missing values on both routes.
+Values are located through two levels of value buckets: a logarithmic one (a fixed function of
+the value) and an even split of each bucket's own range. Bucket counts are carried forward, so
+only the rows of one small bucket are ever sorted together. Ranks need every (group, value) in
+its place; quantiles count the logarithmic buckets in one pass and, in a second one, take only the
+values of buckets that hold a wanted place. Groups proven small use the built-in ``percentile``
+or one window instead. NaN and infinity are missing values on both routes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from panelkit.sources.io import materialize
 
 PER_OCTAVE = 256
 FINE = 16_384
+# Logarithmic buckets an octave that quantiles count first. Fewer, so that each task's counts stay
+# small; their own range is split the more finely.
+COUNTED_PER_OCTAVE = 32
 
 
 def finite(v: Column | str) -> Column:
@@ -29,12 +33,18 @@ def finite(v: Column | str) -> Column:
     return F.when(F.abs(v.cast("double")) < float("inf"), v)  # NaN is above infinity
 
 
-def _coarse(v: Column) -> Column:
+def _coarse(v: Column, per_octave: int = PER_OCTAVE) -> Column:
     """Non-decreasing whole number of a double: sign and 1/256 octave of its size."""
-    size = F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + F.lit(1100 * PER_OCTAVE)
+    size = F.floor(F.log2(F.abs(v)) * per_octave) + F.lit(1100 * per_octave)
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("int") * size).cast("long")
 
 
+def _fine(v: Column, parts: int) -> Column:
+    """Which of ``parts`` even parts of its bucket's range (__lo, __hi) a value is in."""
+    share = F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    return F.coalesce(F.floor(share * (parts - 1)), F.lit(0))
+
+
 def _located(d: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
     """Add __b1, __b2 and __base (weight in smaller buckets) to rows (keys, value, n)."""
     keys = list(keys)
@@ -45,16 +55,7 @@ def _located(d: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame
         .withColumn("__off1", _before("__n", keys, "__b1"))
         .drop("__n")
     )
-    d = attach(d, first, [*keys, "__b1"]).withColumn(
-        "__b2",
-        F.coalesce(
-            F.floor(
-                F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-                * (FINE - 1)
-            ),
-            F.lit(0),
-        ),
-    )
+    d = attach(d, first, [*keys, "__b1"]).withColumn("__b2", _fine(F.col(value), FINE))
     second = (
         d.groupBy(*keys, "__b1", "__b2")
         .agg(F.sum(n).alias("__n"))
@@ -99,7 +100,9 @@ def quantiles(
     """Exact linear-interpolation quantiles per group; NULL, NaN and infinity skipped.
 
     ``wanted`` maps an output name to (value expression, q). Every group of ``keys`` is kept,
-    with NULL where it has no value. With no keys one row comes back.
+    with NULL where it has no value. With no keys one row comes back. Groups not proven small are
+    computed at once, in two passes over ``df``: what comes back is a stored table whose plan
+    does not hold that of ``df``, so that quantiles of frames made from quantiles stay small plans.
     """
     keys = list(keys)
     if spec.bounded(keys):
@@ -124,13 +127,17 @@ def quantiles(
             )
         ).alias("__x"),
     ).select(*keys, F.col("__x.s").alias("__s"), F.col("__x.v").alias("__v"))
-    counted = (
-        long.filter(F.col("__v").isNotNull())
-        .groupBy(*keys, "__s", "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
+    # First pass: counts and ranges of the logarithmic buckets. Missing values make a bucket of their
+    # own (NULL), so that every group is there.
+    long = long.withColumn("__b1", _coarse(F.col("__v"), COUNTED_PER_OCTAVE))
     group = [*keys, "__s"]
-    totals = counted.groupBy(*group).agg(F.sum("__n").alias("__total"))
+    buckets = materialize(
+        long.groupBy(*group, "__b1").agg(
+            F.count(F.lit(1)).alias("__w"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+        )
+    )
+    present = buckets.filter(F.col("__b1").isNotNull())
+    totals = present.groupBy(*group).agg(F.sum("__w").alias("__total"))
     asks = F.array(
         *[
             F.struct(
@@ -150,20 +157,22 @@ def quantiles(
             F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))).alias("__rank"),
         )
     )
-    placed = _located(counted, group, "__v", "__n")
-    # Keep only buckets that hold a wanted rank, then walk each of those in value order.
-    spans = placed.groupBy(*group, "__b1", "__b2", "__base").agg(F.sum("__n").alias("__w"))
-    hit = (
-        attach(spans, ranks, group, how="inner")
-        .filter(
-            (F.col("__rank") >= F.col("__base"))
-            & (F.col("__rank") < F.col("__base") + F.col("__w"))
-        )
-        .groupBy(*group, "__b1", "__b2")
-        .agg(F.collect_list(F.struct("__alias", "__pos", "__rank")).alias("__asked"))
+    wanted_buckets = materialize(
+        _hit(present.withColumn("__off", _before("__w", group, "__b1")), ranks, group, ["__b1", "__lo", "__hi", "__off"])
+    )
+    # Second pass: the values of those buckets alone, counted, in even parts of the bucket's range.
+    inside = attach(long, wanted_buckets.drop("__asked"), [*group, "__b1"], how="inner")
+    counted = materialize(
+        inside.groupBy(*group, "__b1", "__lo", "__hi", "__off", "__v").agg(F.count(F.lit(1)).alias("__n"))
     )
-    walked = attach(placed, hit, [*group, "__b1", "__b2"], how="inner").withColumn(
-        "__from", F.col("__base") + _before("__n", [*group, "__b1", "__b2"], "__v")
+    parts = FINE * PER_OCTAVE // COUNTED_PER_OCTAVE
+    placed = counted.withColumn("__b2", _fine(F.col("__v"), parts)).drop("__lo", "__hi")
+    spans = placed.groupBy(*group, "__b1", "__off", "__b2").agg(F.sum("__n").alias("__w"))
+    spans = spans.withColumn("__off", F.col("__off") + _before("__w", [*group, "__b1"], "__b2"))
+    # Keep only the parts that hold a wanted rank, then walk each of those in value order.
+    hit = _hit(spans, ranks, group, ["__b1", "__b2", "__off"])
+    walked = attach(placed.drop("__off"), hit, [*group, "__b1", "__b2"], how="inner").withColumn(
+        "__from", F.col("__off") + _before("__n", [*group, "__b1", "__b2"], "__v")
     )
     picked = (
         walked.withColumn("__ask", F.explode("__asked"))
@@ -188,9 +197,16 @@ def quantiles(
     wide = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__alias") == a, F.col("__q"))).alias(a) for a in wanted]
     )
-    if not keys:
-        return wide
-    return attach(df.select(*keys).distinct(), wide, keys)
+    if keys:
+        wide = attach(buckets.select(*keys).distinct(), wide, keys)
+    return materialize(wide)
+
+
+def _hit(spans: DataFrame, ranks: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The spans (group, names, weight __w from place __off on) that hold wanted ranks, with those as __asked."""
+    at = F.col("__rank") - F.col("__off")
+    held = attach(spans, ranks, group, how="inner").filter((at >= 0) & (at < F.col("__w")))
+    return held.groupBy(*group, *names).agg(F.collect_list(F.struct("__alias", "__pos", "__rank")).alias("__asked"))
 
 
 def rank_pct(

@@ -159,6 +159,25 @@ def test_quantiles_of_narrow_and_extreme_values(spark):
     assert row["q0"] == -1e300 and row["q20"] == 1e300
 
 
+def test_quantiles_read_only_the_buckets_of_wanted_places(spark, monkeypatch):
+    """All rows are counted in buckets; values are counted one by one only in the buckets asked for."""
+    rng = np.random.default_rng(2)
+    rows = [("ab"[i % 2], i % 3, float(v)) for i, v in enumerate(rng.uniform(1, 9, 4000))]
+    rows += [("c", 0, None), ("c", 0, float("nan")), (None, 1, 3.0), (None, 1, -2.0)]
+    df = spark.createDataFrame(rows, "entity string, k int, v double")
+    stored = []
+    whole = ranks.materialize
+    monkeypatch.setattr(ranks, "materialize", lambda d: stored.append(whole(d)) or stored[-1])
+    want = {"m": ("v", 0.5), "p": ("v", 0.9), "n": (-F.col("v"), 0.9)}
+    for keys in (["entity", "k"], ["entity"], []):
+        stored.clear()
+        got = ranks.quantiles(df, keys, want, PanelSpec(chunk_rows=1))
+        # As many rows as counts: the whole of the buckets, then a small part of the 8,000 values.
+        assert max(d.count() for d in stored) < 2500
+        everything = PanelSpec(bounds={(): layout.GroupBound(1, len(rows), len(rows))})
+        same(got, ranks.quantiles(df, keys, want, everything), keys)
+
+
 def test_weight_below_matches_sorting(data):
     df, _ = data
     d = df.groupBy("entity", "y").agg(F.count("*").alias("n"))
