@@ -471,13 +471,14 @@ def tail_labels(
     (entity, hour) with enough rows uses its own quantiles."""
     e, y = spec.entity, spec.target
     want = tail_quantiles(y, mode, upper, lower)
-    rows = join_table(df, quantiles(df, [e], want, spec), [e], spec)
+    # The fitted tables are stored: labels of labelled frames would otherwise double their plan each time.
+    rows = join_table(df, materialize(quantiles(df, [e], want, spec)), [e], spec)
     names = list(want)
     if by_hour:
         own = {f"{n}_h": v for n, v in want.items()}
         cells = summarize(df, [e, "hour"], {"__size": F.count(F.lit(1))}, own, spec)
-        cells = cells.filter(F.col("__size") >= hour_min_rows)
-        rows = join_table(rows, cells.drop("__size"), [e, "hour"], spec)
+        cells = materialize(cells.filter(F.col("__size") >= hour_min_rows).drop("__size"))
+        rows = join_table(rows, cells, [e, "hour"], spec)
         rows = rows.withColumns({n: F.coalesce(f"{n}_h", n) for n in want}).drop(*own)
     x = F.abs(F.col(y)) if mode == "abs" else F.col(y)
     hit = x >= F.col("__hi")
@@ -495,7 +496,7 @@ def tail_weights(df: DataFrame, spec: PanelSpec, weights: Mapping[str, float] |
     absolute targets, both within the entity."""
     w, y = {**TAIL_WEIGHTS, **(weights or {})}, F.col(spec.target)
     want = {"__u": (y, 0.95), "__l": (y, 0.05), "__a": (F.abs(y), 0.9)}
-    rows = join_table(df, quantiles(df, [spec.entity], want, spec), [spec.entity], spec)
+    rows = join_table(df, materialize(quantiles(df, [spec.entity], want, spec)), [spec.entity], spec)
     return rows.withColumns(
         {
             "spike_weight": F.when(y <= F.col("__l"), w["lower"])

@@ -178,6 +178,21 @@ def test_quantiles_read_only_the_buckets_of_wanted_places(spark, monkeypatch):
         same(got, ranks.quantiles(df, keys, want, everything), keys)
 
 
+def test_labels_of_labelled_frames_stay_small_plans(data, spark, sf, spread, tmp_path):
+    """Each label, and the weights, read fitted tables, not the labelled frame once more."""
+    df, small = data
+    path = str(tmp_path / "panel")
+    df.withColumn("hour", F.hour("ts")).write.parquet(path)
+    for spec in (spread, small):
+        rows = spark.read.parquet(path)
+        for i, mode in enumerate(("upper", "two_sided", "abs", "upper")):
+            rows = model.tail_labels(rows, mode, spec, 0.9, 0.1, by_hour=i == 3, hour_min_rows=2, out=f"l{i}")
+        rows = model.tail_weights(rows, spec)
+        assert sum(path in f for f in rows.inputFiles()) and rows.count() == df.count()
+        plan = rows._jdf.queryExecution().analyzed().toString()
+        assert plan.count("target#") < 400 and plan.count("Relation") <= 8
+
+
 def test_weight_below_matches_sorting(data):
     df, _ = data
     d = df.groupBy("entity", "y").agg(F.count("*").alias("n"))
