@@ -39,7 +39,8 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "public-domain": ["Dedicated to the public domain under CC0 1.0 Universal."],
 }
-#: Words one of which a notice has: paragraphs without any are unknown and are not vectorised.
+#: Words of notices, put into paragraphs that teach the unknown class. They choose training rows only:
+#: which paragraphs are scanned does not depend on them.
 ANCHORS = (
     "license licensed licenses licence licenced copyright rights permission permitted redistribution "
     "redistribute apache gnu gpl lgpl mit bsd mpl mozilla creative commons cc cc0 domain"
@@ -83,10 +84,9 @@ def _template_frame(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, paragraph, body): the lines of a text that hold an anchor word, numbered from 0."""
-    held = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).filter(F.col("text").rlike(ANCHOR))
-    lines = held.select("key", F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    return lines.filter(F.col("body").rlike(ANCHOR)).withColumn("paragraph", F.col("paragraph").cast("long"))
+    """(key, paragraph, body): every line of every text, numbered from 0."""
+    rows = docs.select(F.col(id_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "body"))
+    return rows.withColumn("paragraph", F.col("paragraph").cast("long"))
 
 
 def training_rows(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:

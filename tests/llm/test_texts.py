@@ -478,3 +478,14 @@ def test_licenses(spark, sf):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_licenses_look_at_paragraphs_without_anchor_words(spark):
+    notice = "is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+    texts = {1: f"the first line\n{notice}\n\nanother line", 2: None, 3: "", 4: "a single line of prose", 5: notice}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lines = sorted(map(tuple, licenses.paragraphs(docs, "doc_id", "text").collect()))
+    assert lines == [(k, i, x) for k, v in texts.items() if v is not None for i, x in enumerate(v.split("\n"))]
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("9L AS doc_id", "text")
+    got = licenses.scan(docs.unionByName(corpus)).filter("doc_id < 9")
+    assert sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in got.collect()) == [(1, 1, "mit", True), (5, 0, "mit", True)]
