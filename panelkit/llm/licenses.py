@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -78,6 +79,22 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, runs(2), runs(3)))
 
 
+def _known_grams(words: Column, vocabulary: Sequence[str]) -> Column:
+    """Those of ``_grams`` that are in a vocabulary. Only runs that begin like one of its own are joined, and
+    looked up in a set; whole texts pass through here."""
+    n = F.size(words)
+
+    def runs(k: int) -> Column:
+        held = [g for g in vocabulary if g.count(" ") == k - 1]
+        first = sorted({g.split(" ")[0] for g in held})
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda i: F.get(words, i - 1).isin(first))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " ")), lambda g: g.isin(held))
+
+    single = [g for g in vocabulary if " " not in g]
+    return F.array_distinct(F.concat(F.filter(words, lambda w: w.isin(single)), runs(2), runs(3)))
+
+
 def _template_frame(spark: SparkSession) -> DataFrame:
     rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
     return spark.createDataFrame(rows, "family string, text string").withColumn("words", _words(F.col("text")))
@@ -178,9 +195,8 @@ def scan(
     paragraph of every text is looked at, no row is shuffled and no Python runs on executors. Null
     and empty texts and empty tables give no rows; repeated rows give theirs each."""
     model = fit(docs, settings, id_col, text_col)
-    known = F.array(*map(F.lit, model.vector.vocabulary))
     lines = paragraphs(docs, id_col, text_col).withColumn("words", _words(F.col("body")))
-    grams = F.array_intersect(_grams(F.col("words")), known)
+    grams = _known_grams(F.col("words"), model.vector.vocabulary)
     # Written once each: what follows reads the n-grams, and then the scores, many times over.
     found = materialize(lines.select("key", "paragraph", grams.alias("grams")))
     found = materialize(model.scored(found).select("key", "paragraph", "grams", "family", "probability"))
