@@ -4,7 +4,10 @@ A byte-level tokenizer splits a text into pre-tokens and turns each into ids by
 repeat, so each goes through the library's BPE model once per worker and is then remembered. No
 pre-token crosses the place before a run of white space (as Unicode defines it, like the
 pre-tokenizer), so long texts are cut there, and so are texts that name a special token: pieces with
-such a name are left to the library as a whole."""
+such a name are left to the library as a whole.
+
+Texts are encoded about a megabyte at a time: their bytes are cut where surely no pre-token crosses, mostly
+around each one, equal chunks are found by Arrow, and only the different ones are looked up."""
 
 from __future__ import annotations
 
@@ -14,8 +17,10 @@ import json
 import re
 from array import array as _packed
 from collections.abc import Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -32,9 +37,47 @@ PRE_TOKENS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 ASCII_PRE_TOKENS = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Bytes that a generation of remembered pre-tokens takes about at most (a worker holds two), and the
 #: characters of the longest one that is remembered.
-MEMO_BYTES, LONGEST = 48_000_000, 200
+MEMO_BYTES, LONGEST = 36_000_000, 200
 #: Characters that are split into pre-tokens at a time.
 WINDOW = 250_000
+#: Characters of texts that are encoded together.
+BLOCK = 1_000_000
+
+
+def _bytes(*some: int | range) -> np.ndarray:
+    """A table of all bytes: whether each is among some."""
+    table = np.zeros(256, bool)
+    for s in some:
+        table[s] = True
+    return table
+
+
+#: Bytes of ASCII letters, of ASCII white space, and of ASCII but for letters and digits.
+LETTER = _bytes(range(65, 91), range(97, 123))
+WHITE = _bytes(range(9, 14), 32)
+SIGN = _bytes(range(0, 48), range(58, 65), range(91, 97), range(123, 128))
+#: Bytes that surely end a character other than white space, and that surely begin one: white space beyond
+#: ASCII ends with a byte from 128 on and begins with C2, E1, E2 or E3.
+SOLID_END = _bytes(range(128)) & ~WHITE
+SOLID_START = SOLID_END | _bytes(range(0xC3, 0xE1), range(0xE4, 256))
+
+
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Marks of the places in UTF-8 bytes before which a pre-token surely begins, so that what lies between
+    two has the same pre-tokens as alone:
+
+    - before a run of white space, and before its last character if that is a space that no end of text
+      follows (it goes to what follows);
+    - after a line feed that is such a run alone;
+    - between a letter and a sign, and between a sign and a letter but for the apostrophe of 's."""
+    marks = np.zeros(len(data), bool)
+    at = np.flatnonzero(SIGN[data[1:-1]]) + 1
+    before, here, after = data[at - 1], data[at], data[at + 1]
+    solid, white = SOLID_END[before], WHITE[here]
+    marks[at] = np.where(white, solid | ((here == 32) & SOLID_START[after]), LETTER[before])
+    ends = np.where(white, (here == 10) & solid & SOLID_START[after], (here != 39) & LETTER[after])
+    marks[at[ends] + 1] = True
+    return marks
 
 
 def _byte_letters() -> dict[int, str]:
@@ -78,8 +121,8 @@ class Remembered(dict):
             found = self.make(token)
             if len(token) > LONGEST:
                 return found
-        # An entry, its string and its result take some 200 bytes besides their content.
-        self.bytes += 200 + 3 * len(token)
+        # The token, its result, and their place in a table that is at most half empty.
+        self.bytes += getsizeof(token) + getsizeof(found) + 60
         if self.bytes > self.limit:
             self.older, self.bytes = dict(self), 0
             self.clear()
@@ -115,7 +158,7 @@ class Encoder:
         self.any_pre_tokens = regex.compile(PRE_TOKENS).findall
         self.ascii_pre_tokens = re.compile(ASCII_PRE_TOKENS, re.ASCII).findall
         self.merge = self.tokenizer.model.tokenize
-        self.tokens = Remembered(self._pre_token)
+        self.tokens = Remembered(self._chunk)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -136,6 +179,11 @@ class Encoder:
         ids = self.merged(token)
         return ids[0].to_bytes(4, "little") if len(ids) == 1 else _packed("I", ids).tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.removeprefix(" ").isalpha() or len(tokens := self.pre_tokens(chunk)) == 1:
+            return self._pre_token(chunk)
+        return b"".join(map(self.tokens.__getitem__, tokens))
+
     def _piece(self, piece: str) -> bytes:
         if self.special(piece):
             return self.whole(piece)
@@ -144,17 +192,47 @@ class Encoder:
     def _part(self, text: str) -> bytes:
         if self.special(text):
             return b"".join(map(self._piece, PIECES(text)))
-        return b"".join(map(self.tokens.__getitem__, self.pre_tokens(text)))
+        return self._block([text])[0]
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        if not texts:
+            return []
+        # A line feed ends each text, as a chunk of its own.
+        rows = [t.encode("utf-8", "replace") for t in texts]
+        data = b"\n".join([*rows, b""])
+        feeds = np.cumsum([len(r) + 1 for r in rows]) - 1
+        starts = np.concatenate([[0], feeds[:-1] + 1])
+        marks = chunk_starts(np.frombuffer(data, "u1"))
+        marks[starts] = marks[feeds] = True
+        edges = np.append(np.flatnonzero(marks), len(data))
+        chunks = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data))
+        coded = chunks.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(map(self.tokens.__getitem__, different), pa.large_binary()).take(coded.indices)
+        _, offsets, body = ids.buffers()
+        offsets, body = np.frombuffer(offsets, "<i8"), memoryview(body)
+        first, last = (offsets[np.searchsorted(edges, x)].tolist() for x in (starts, feeds))
+        return [bytes(body[a:b]) for a, b in zip(first, last)]
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, in order."""
+        if not self.piecewise:
+            yield from (self.whole(text) if text else b"" for text in texts)
+            return
+        block, size = [], 0
         for text in texts:
-            if not text:
-                yield b""
-            elif self.piecewise:
+            text = text or ""
+            alone = len(text) > WINDOW or self.special(text)
+            if alone or size + len(text) > BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+            if alone:
                 yield b"".join(map(self._part, parts(text)))
             else:
-                yield self.whole(text)
+                block.append(text)
+                size += len(text)
+        yield from self._block(block)
 
 
 class TokenCounter:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from panelkit.llm import packing, queries, tokens
+from panelkit.llm import packing, queries, tokens, units
 from panelkit.llm.units import Encoder, TokenCounter, single_token_strings
 from tests.llm.common import empty, odd, odd_rows
 
@@ -37,6 +37,43 @@ def test_pieces_encode_as_the_whole_text(text):
     assert next(COUNTER.counts([text])) == len(want)
 
 
+@settings(max_examples=100, deadline=None)
+@given(
+    st.lists(st.lists(st.sampled_from([*BITS, "don't,", "(x)", "Жé.", "é\u2014 ", " \n "]), max_size=9).map("".join) | st.none(), max_size=9),
+    st.sampled_from([1, 40, 1_000_000]),
+)
+def test_texts_encoded_together_do_not_meet(texts, block):
+    before, units.BLOCK = units.BLOCK, block
+    try:
+        got = [np.frombuffer(b, "<u4").tolist() for b in Encoder.ids(ENCODER, texts)]
+    finally:
+        units.BLOCK = before
+    assert got == [ids(t) for t in texts]
+
+
+def test_equal_pre_tokens_are_looked_up_once_a_block():
+    asked = []
+
+    class Counting(units.Remembered):
+        def __getitem__(self, token):
+            asked.append(token)
+            return super().__getitem__(token)
+
+    enc = Encoder(PATH)
+    enc.tokens = Counting(enc._pre_token)
+    texts = ["one two, (three) four-five\n" * 200, "one two" * 100, "", None]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [ids(t) for t in texts]
+    assert len(asked) < 30
+
+
+def test_memory_of_pre_tokens_is_bounded_by_their_size():
+    some = units.Remembered(lambda token: token.encode() * 50, limit=100_000)
+    for i in range(5_000):
+        assert some[f"{i:05}"] == b"%05d" % i * 50
+    held = [*some.items(), *some.older.items()]
+    assert sum(units.getsizeof(x) for pair in held for x in pair) <= 200_000 and len(held) > 200
+
+
 def test_single_tokens_are_proven():
     some = random.Random(1).sample(sorted(COUNTER.single), 500)
     assert all(len(ids(s)) == 1 for s in some) and len(COUNTER.single) > 40_000
