@@ -115,6 +115,23 @@ def test_token_files_round_trip(spark):
     assert arrays[106] == want[106]
 
 
+def test_documents_of_a_batch_share_lookups():
+    """The words of many documents, as a task of the token files encodes them, are looked up a few times."""
+    looked_up = 0
+
+    class Counting(units.Remembered):
+        def __getitem__(self, token):
+            nonlocal looked_up
+            looked_up += 1
+            return super().__getitem__(token)
+
+    enc = Encoder(PATH)
+    enc.tokens = Counting(enc._pre_token)
+    texts = [f"Ähnlich, same words.\nin all {i % 7}" for i in range(500)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [ids(t) for t in texts]
+    assert looked_up < 40
+
+
 def test_no_documents_make_no_files(spark):
     folder = tokens.token_folder(spark)
     tokens.write_token_files(empty(spark), PATH, folder)
